@@ -48,3 +48,16 @@ def query(name: str, oracle: str | None = None):
 def over(*views: str, body: str) -> str:
     """SQL check over contest views; ``body`` may open with further ``, x AS (...)`` parts."""
     return f"{with_clause(DUCK, *views)} {body}"
+
+
+def corpus(t: Tables) -> DataFrame:
+    """Nested records with ranks keyed by team name, as the reader yields them."""
+    from pyspark.sql import functions as F
+
+    pairs = F.transform("ranks", lambda r: F.struct(
+        r["team"].alias("key"), F.struct(r["world_rank"].alias("world_rank"),
+                                         r["vrs_before_rank"].alias("vrs_before_rank")).alias("value")))
+    from rivalry.functions.text import settle
+
+    return settle(t.view("corpus"), team_ranks=F.map_from_entries(pairs), match_info=F.col("match_info"),
+                  hltv_vetoes=F.col("hltv_vetoes"), hltv_maps=F.col("hltv_maps")).drop("ranks")
