@@ -22,7 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def clip(c: Column, eps: float) -> Column:
-    return F.greatest(F.least(c, F.lit(1 - eps)), F.lit(eps))
+    # greatest/least skip NULLs: an unknown probability must stay unknown
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1 - eps)), F.lit(eps)))
 
 
 def log_loss(p: Column, y: Column, eps: float) -> Column:

@@ -287,7 +287,7 @@ def parse_date(t):
     return corpus(t).select("match_key", F.date_format(X.parse_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-@query("X21_decimal_tokens", """WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(' ' || text || ' ', '([^0-9.])', '\\1\\1', 'g'), '(\\.[0-9]{2})\\.', '\\1..', 'g') AS s FROM documents),
+@query("X21_decimal_tokens", """WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(' ' || text || ' ', '([^0-9.])', '\\1\\1', 'g'), '((?:^|[^0-9])[1-9][0-9]?\\.[0-9]{2})\\.', '\\1..', 'g') AS s FROM documents),
     v AS (SELECT doc_id, CAST(unnest(regexp_extract_all(s, '(^|[^0-9])([1-9][0-9]?\\.[0-9]{2})($|[^0-9])', 2)) AS DOUBLE) AS v FROM d)
     SELECT d.doc_id, count(v.v) AS n, round(coalesce(sum(v.v), 0), 6) AS total FROM d LEFT JOIN v ON v.doc_id = d.doc_id AND v.v BETWEEN 1.01 AND 100 GROUP BY 1""")
 def decimal_tokens(t):

@@ -41,7 +41,7 @@ class Dialect:
     def explode_range(self, n: str, alias: str) -> str:
         """Lateral clause that yields 1..n as ``alias``."""
         if self.spark:
-            return f"LATERAL VIEW explode(sequence(1, {n})) g_{alias} AS {alias}"
+            return f"LATERAL VIEW explode(sequence(1L, CAST({n} AS BIGINT))) g_{alias} AS {alias}"
         return f", LATERAL (SELECT unnest(range(1, {n} + 1)) AS {alias}) g_{alias}"
 
     def at(self, items: list[str], index: str) -> str:
