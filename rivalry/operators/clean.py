@@ -252,14 +252,13 @@ def era_violations(eras: DataFrame, known_maps: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.lit(1)).orderBy("era_no")
-    prev = F.lag("start").over(w)
     known = F.array(*[F.lit(m) for m in known_maps])
-    checks = eras.select("name", F.explode(F.array_compact(F.array(
+    d = eras.withColumns({"prev": F.lag("start").over(w), "same_name": F.count("*").over(Window.partitionBy("name"))})
+    return d.select("name", F.explode(F.array_compact(F.array(
         F.when((F.size("maps") != 7) | (F.size(F.array_distinct("maps")) != 7), F.lit("needs seven distinct maps")),
         F.when(F.size(F.array_except("maps", known)) > 0, F.lit("undefined maps")),
         F.when((F.col("era_no") == 1) & F.col("start").isNotNull(), F.lit("first era must be open")),
         F.when((F.col("era_no") > 1) & F.col("start").isNull(), F.lit("start needed")),
-        F.when((F.col("era_no") > 1) & (F.col("start") <= prev), F.lit("starts must increase")),
-        F.when(F.count("*").over(Window.partitionBy("name")) > 1, F.lit("duplicate name")),
+        F.when((F.col("era_no") > 1) & (F.col("start") <= F.col("prev")), F.lit("starts must increase")),
+        F.when(F.col("same_name") > 1, F.lit("duplicate name")),
     ))).alias("violation"))
-    return checks

@@ -72,32 +72,28 @@ def counts_before(events: DataFrame, probes: DataFrame, keys: list[str], sums: l
                   days: int | None, day: str = "date", order: str = "match_id") -> DataFrame:
     """As-of sums per probe over events that come earlier in (day, order) within ``days``.
 
-    Probes hold ``keys + [day, order]``; the result adds ``sums``. Three parts are
-    added: whole earlier days (one row per key and day), earlier ranges of the same
-    day (at most one row per range), and earlier ids of the same range. No part
-    orders more than one range of one key's day together.
+    Both sides hold ``keys + [day, order, "range_no"]`` (see ``with_range``); one row per
+    distinct probe comes back. Three parts are added: whole earlier days (one row per
+    key and day), earlier ranges of the same day (at most one row per range), and
+    earlier ids of the same range. No part orders more than one range of one key's
+    day together.
     """
-    ids = [*keys, day, order]
-    marks = probes.select(*ids).distinct()
-    both = (events.groupBy(*ids).agg(*[F.sum(s).cast("long").alias(s) for s in sums])
-            .unionByName(marks.select(*ids, *[F.lit(0).cast("long").alias(s) for s in sums]))
-            .groupBy(*ids).agg(*[F.sum(s).alias(s) for s in sums]))
-    ranged = with_range(both, order, split_points(events, order, 64))
-
-    by_range = ranged.groupBy(*keys, day, "range_no").agg(*[F.sum(s).alias(s) for s in sums])
-    day_no = F.unix_date(F.to_date(day))
-    days_of = by_range.groupBy(*keys, day).agg(*[F.sum(s).alias(s) for s in sums]).withColumn("day_no", day_no)
+    ids = [*keys, day, "range_no", order]
+    both = (events.select(*ids, *[F.col(s).cast("long").alias(s) for s in sums], F.lit(0).alias("is_probe"))
+            .unionByName(probes.select(*ids, *[F.lit(0).cast("long").alias(s) for s in sums], F.lit(1).alias("is_probe")))
+            .groupBy(*ids).agg(*[F.sum(s).alias(s) for s in sums], F.max("is_probe").alias("is_probe")))
+    by_range = both.groupBy(*keys, day, "range_no").agg(*[F.sum(s).alias(s) for s in sums])
+    days_of = by_range.groupBy(*keys, day).agg(*[F.sum(s).alias(s) for s in sums]).withColumn("day_no", F.unix_date(F.to_date(day)))
     day_part = days_of.select(*keys, day, *[trailing(s, keys, "day_no", days).alias(f"{s}_d") for s in sums])
     ahead = Window.partitionBy(*keys, day).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     range_part = by_range.select(*keys, day, "range_no",
                                  *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"{s}_r") for s in sums])
-    inside = (Window.partitionBy(*keys, day, "range_no").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    row_part = ranged.select(*ids, "range_no",
-                             *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"{s}_i") for s in sums])
-    joined = (row_part.join(range_part, [*keys, day, "range_no"]).join(day_part, [*keys, day]))
-    state = joined.select(*ids, *[(F.col(f"{s}_d") + F.col(f"{s}_r") + F.col(f"{s}_i")).alias(s) for s in sums])
-    return probes.join(state, ids, "left")
+    before = range_part.join(day_part, [*keys, day]).select(
+        *keys, day, "range_no", *[(F.col(f"{s}_d") + F.col(f"{s}_r")).alias(f"{s}_b") for s in sums])
+    inside = Window.partitionBy(*keys, day, "range_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = both.select(*ids, "is_probe", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"{s}_i") for s in sums])
+    out = rows.where(F.col("is_probe") == 1).join(before, [*keys, day, "range_no"])
+    return out.select(*keys, day, order, *[(F.col(f"{s}_b") + F.col(f"{s}_i")).alias(s) for s in sums])
 
 
 def last_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rivalry import constants as C
 from rivalry.functions import text as X
 from rivalry.operators.clean import invalid_veto_reason, text_blob
-from rivalry.operators.ordered import counts_before
+from rivalry.operators.ordered import counts_before, split_points, with_range
 
 FORMATS = ("bo1", "bo3", "bo5")
 
@@ -184,7 +184,7 @@ def history_events(matches: DataFrame) -> DataFrame:
     def last_winner(m: Column) -> Column:
         return F.try_element_at(F.filter("played", lambda q: (q["map"] == m) & q["winner"].isNotNull()), F.lit(-1))["winner"]
     wins = F.filter(F.transform("played", lambda p: F.when(last_winner(p["map"]).isNotNull(), _key("win", era, last_winner(p["map"]), p["map"]))), lambda k: k.isNotNull())
-    return matches.select("match_id", "date", F.explode(F.concat(bans, picks, series, pickable, plays, wins)).alias("key"), F.lit(1).cast("long").alias("n"))
+    return matches.select("match_id", "date", "range_no", F.explode(F.concat(bans, picks, series, pickable, plays, wins)).alias("key"), F.lit(1).cast("long").alias("n"))
 
 
 def history_probes(matches: DataFrame) -> DataFrame:
@@ -200,12 +200,13 @@ def history_probes(matches: DataFrame) -> DataFrame:
 
     own = F.flatten(F.transform(teams, lambda t: F.concat(per_map(t), F.array(_key("series", era, t), _key("pickable", era, t), _key("bans", era, t)))))
     everyone = F.flatten(F.transform(slots, lambda s: F.transform(pool, lambda m: _key("global", era, fmt, s, m))))
-    return matches.select("match_id", "date", F.explode(F.array_distinct(F.concat(own, everyone))).alias("key"))
+    return matches.select("match_id", "date", "range_no", F.explode(F.array_distinct(F.concat(own, everyone))).alias("key"))
 
 
 def with_history(matches: DataFrame, days: int | None = C.VETO_DAYS) -> DataFrame:
     """Adds ``counts``: history before the match in (date, match_id) order, within ``days`` (same day included)."""
-    asof = counts_before(history_events(matches), history_probes(matches), ["key"], ["n"], days).where(F.col("n") > 0)
+    ranged = with_range(matches, "match_id", split_points(matches, "match_id", 64))
+    asof = counts_before(history_events(ranged), history_probes(ranged), ["key"], ["n"], days).where(F.col("n") > 0)
     # at most one entry per probe of the match
     per = asof.groupBy("match_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
     return matches.join(per, ["match_id", "date"], "left")

@@ -93,8 +93,8 @@ def favourite_frame(t):
 
 
 @query("L7_fair_adjustment", over("snapshots", body=""" SELECT id, CASE WHEN id % 10 = 0 THEN 'unavailable' WHEN odds_a IS NULL THEN 'missing_odds' ELSE 'applied' END AS status,
-    CASE WHEN id % 10 <> 0 THEN round((1 - f) * (1 / odds_a) / (1 / odds_a + 1 / odds_b) + 0.5 * f, 6) END AS fair_prob_a,
-    CASE WHEN id % 10 <> 0 THEN round((1 - f) * (1 / odds_b) / (1 / odds_a + 1 / odds_b) + 0.5 * f, 6) END AS fair_prob_b FROM (SELECT *, CAST(id % 40 AS DOUBLE) / 100 AS f FROM snapshots)"""))
+    CASE WHEN id % 10 <> 0 THEN round((1 - f) * ((1 / odds_a) / (1 / odds_a + 1 / odds_b)) + 0.5 * f, 6) END AS fair_prob_a,
+    CASE WHEN id % 10 <> 0 THEN round((1 - f) * ((1 / odds_b) / (1 / odds_a + 1 / odds_b)) + 0.5 * f, 6) END AS fair_prob_b FROM (SELECT *, CAST(id % 40 AS DOUBLE) / 100 AS f FROM snapshots)"""))
 def fair_adjustment(t):
     s = t.view("snapshots").withColumn("forfeit_prob", F.when(F.col("id") % 10 != 0, (F.col("id") % 40).cast("double") / 100))
     return L.fair_adjustment(s).select("id", "status", "fair_prob_a", "fair_prob_b")
