@@ -32,12 +32,17 @@ def _rate(s: str, n: str) -> str:
     return f"(coalesce({s}, 0) + {_P}E0 * {_W}) / ({n} + {_W})"
 
 
+def rate_digits(df):
+    """Rates with short denominators tie at few digits and logarithms differ in the last bit."""
+    return df.select(*[F.round(c, 6 if "log" in c else 12).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
 @query("W11_running_rate", over("forfeit_base", body=f""", d AS (SELECT DISTINCT event, date FROM forfeit_base), n AS (SELECT d.event, d.date, count(h.match_id) AS n, sum(h.forfeit_target) AS s FROM d LEFT JOIN forfeit_base h ON h.event = d.event AND h.date < d.date GROUP BY 1, 2)
-    SELECT event, date, round({_rate('s', 'n')}, 6) AS rate, round(ln(1.0E0 + n), 6) AS count_log FROM n"""))
+    SELECT event, date, round({_rate('s', 'n')}, 12) AS rate, round(ln(1.0E0 + n), 6) AS count_log FROM n"""))
 def running_rate(t):
     rows = t.view("forfeit_base").select("event", "date", F.lit(1).alias("n"), F.col("forfeit_target").alias("s"))
     s = R.running_counts(rows, ["event"])
-    return rounded(s.select("event", "date", R.smoothed(F.col("s"), F.col("n")).alias("rate"), F.log1p(F.col("n").cast("double")).alias("count_log")))
+    return rate_digits(s.select("event", "date", R.smoothed(F.col("s"), F.col("n")).alias("rate"), F.log1p(F.col("n").cast("double")).alias("count_log")))
 
 
 _SURFACE = f""", dl AS (SELECT DISTINCT b.date, l.is_lan FROM forfeit_base b CROSS JOIN (SELECT unnest([true, false]) AS is_lan) l)
@@ -73,7 +78,7 @@ def _ff_sql(select: str) -> str:
         "team1_match_count_log": "ln(1.0E0 + t1.n)", "team2_match_count_log": "ln(1.0E0 + t2.n)", "organizer_match_count_log": "ln(1.0E0 + xorganizer.n)", "event_match_count_log": "ln(1.0E0 + xevent.n)",
     }
     ints = {"is_lan", "best_of", "days_since_start", "team1_rank", "team2_rank", "min_rank", "max_rank", "either_unranked", "both_unranked"}
-    cols = ", ".join(f"{f.get(c, 'sd.' + c)} AS {c}" if c in ints else f"round({f.get(c, 'sd.' + c)}, 6) AS {c}" for c in C.FORFEIT_NUMERIC)
+    cols = ", ".join(f"{f.get(c, 'sd.' + c)} AS {c}" if c in ints else f"round({f.get(c, 'sd.' + c)}, {6 if 'log' in c else 12}) AS {c}" for c in C.FORFEIT_NUMERIC)
     b1, b2 = bucket("team1_rank"), bucket("team2_rank")
     return over("forfeit_base", body=f"""{_SURFACE} {_TEAMS_CTE} {_KEY_CTE}, ff AS (SELECT b.match_id, b.date, b.team1_id, b.team2_id, b.event, b.organizer, {cols}, b.region, b.match_format AS format, {b1} AS team1_rank_bucket, {b2} AS team2_rank_bucket,
         least({b1}, {b2}) || ' / ' || greatest({b1}, {b2}) AS rank_pair_bucket, b.forfeit_target FROM forfeit_base b JOIN sd ON sd.date = b.date AND sd.is_lan = b.is_lan
@@ -83,7 +88,7 @@ def _ff_sql(select: str) -> str:
 
 @query("W13_forfeit_features", _ff_sql("SELECT * FROM ff"))
 def forfeit_features(t):
-    return rounded(R.forfeit_features(t.view("forfeit_base")))
+    return rate_digits(R.forfeit_features(t.view("forfeit_base")))
 
 
 @query("W14_history_as_of", _ff_sql("SELECT match_id, " + ", ".join(c for c in C.FORFEIT_NUMERIC if c not in ("days_since_start",)) + " FROM ff"))
@@ -92,7 +97,7 @@ def history_as_of(t):
     base = t.view("forfeit_base")
     probes = base.drop("forfeit_target", "forfeit_team")
     f = R.forfeit_features(base, probes)
-    return rounded(f.select("match_id", *[c for c in C.FORFEIT_NUMERIC if c != "days_since_start"]))
+    return rate_digits(f.select("match_id", *[c for c in C.FORFEIT_NUMERIC if c != "days_since_start"]))
 
 
 @query("J14_hierarchical_rate_lookup", over("forfeit_base", body=""", tr AS (SELECT * FROM forfeit_base WHERE date < DATE '1999-01-01'), ev AS (SELECT * FROM forfeit_base WHERE date >= DATE '1999-01-01'), g AS (SELECT avg(forfeit_target) AS r FROM tr)
@@ -122,7 +127,7 @@ def split_summary(t):
     return rounded(E.split_summary(split_scored(t), "label"))
 
 
-_FOLDS = """, b AS (SELECT min(date) AS f, max(date) + 1 AS e FROM scored), fs0 AS (SELECT i, f, CAST(e - 120 * (3 - i) AS DATE) AS ee, CAST(e - 120 * (4 - i) AS DATE) AS es FROM b, (SELECT unnest(range(0, 4)) AS i))
+_FOLDS = """, b AS (SELECT min(date) AS f, max(date) + 1 AS e FROM scored), fs0 AS (SELECT i, f, CAST(e - 120 * (3 - i) AS DATE) AS ee, CAST(e - 120 * (4 - i) AS DATE) AS es FROM b, (SELECT CAST(unnest(range(0, 4)) AS INT) AS i))
 , fs1 AS (SELECT i, f, es, ee, (SELECT count(*) FROM scored WHERE date < es) AS tr, (SELECT count(*) FROM scored WHERE date >= es AND date < ee) AS er FROM fs0 WHERE date_diff('day', f, es) >= 60)
 , fs AS (SELECT 'fold_' || CAST(row_number() OVER (ORDER BY i) AS VARCHAR) AS fold, f, es, ee, tr, er FROM fs1 WHERE tr > 0 AND er > 0)"""
 
@@ -530,7 +535,7 @@ def merge_records(t):
 
 
 @query("SNK5_append_snapshots", over("ledger_matches", "snapshots", body=""" , f AS (SELECT DISTINCT match_url FROM ledger_matches WHERE match_url % 2 = 1) SELECT 'matches' AS part, count(*) AS rows FROM f UNION ALL SELECT 'snapshots', count(*) FROM ledger_matches
-    UNION ALL SELECT 'book_odds', sum(CASE WHEN match_url % 5 = 0 THEN 1 ELSE 2 END) FROM ledger_matches"""))
+    UNION ALL SELECT 'book_odds', CAST(sum(CASE WHEN match_url % 5 = 0 THEN 1 ELSE 2 END) AS BIGINT) FROM ledger_matches"""))
 def append_snapshots(t):
     from rivalry.operators import ledger as L
 
