@@ -122,7 +122,7 @@ def odds_history(book_odds: DataFrame, snapshots: DataFrame, match_url) -> DataF
     return book_odds.where(F.col("match_url") == match_url).join(s, "snapshot_id").orderBy("snapshot_id", "bookmaker", "b")
 
 
-def new_snapshots(predictions: DataFrame, known_matches: DataFrame, first_id: Column | int, seen: str) -> dict[str, DataFrame]:
+def new_snapshots(predictions: DataFrame, known_matches: DataFrame, seen: str) -> dict[str, DataFrame]:
     """The three appends of a prediction batch: unseen matches, snapshots, book odds.
 
     Snapshot ids come from the prediction's own key, so a retried batch writes the same ids.
@@ -278,7 +278,7 @@ def favourite_frame(settled: DataFrame) -> DataFrame:
 
 def edge_stats(settled: DataFrame) -> DataFrame:
     """Return-on-edge table: all actionable rows, edge buckets, favourite and underdog backing."""
-    d = edge_columns(settled) if "best_bet" not in settled.columns else settled
+    d = settled if "best_bet" in settled.columns else edge_columns(settled)
     d = d.where(F.col("best_edge") >= 0)
     won = F.col("best_bet") == F.col("result")
     odds = F.when(F.col("best_bet") == "team_a", F.col("odds_a")).otherwise(F.col("odds_b"))

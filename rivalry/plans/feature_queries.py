@@ -208,10 +208,6 @@ def min_history(t):
     return f.select("match_id", "map_pos", "team_a_gen_matches_30d", "team_b_gen_matches_30d")
 
 
-_MIRROR = ", ".join(
-    ("label" if f == "label" else f) for f in C.MODEL_FEATURES)
-
-
 def _mirror_sql() -> str:
     def other(f: str) -> str:
         if f.endswith("_diff"):

@@ -543,7 +543,7 @@ def append_snapshots(t):
     known = t.view("ledger_matches").where(k % 2 == 0)
     odds = F.array(F.struct(F.lit("b1").alias("bookmaker"), F.lit(2.0).alias("odds_a"), F.lit(1.8).alias("odds_b")), F.struct(F.lit("b2").alias("bookmaker"), F.when(k % 5 != 0, 1.5).alias("odds_a"), F.lit(2.5).alias("odds_b")))
     pred = t.view("ledger_matches").drop("result", "date").withColumns({"version_id": F.lit("v1"), "model_prob_a": F.lit(0.6), "odds_a": F.lit(2.0), "odds_b": F.lit(1.8), "edge_a": F.lit(10.0), "edge_b": F.lit(-15.0), "bookmaker_odds": odds})
-    parts = L.new_snapshots(pred, known, 0, "2024-01-01 00:00:00")
+    parts = L.new_snapshots(pred, known, "2024-01-01 00:00:00")
     out = None
     for name, df in parts.items():
         row = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
