@@ -19,21 +19,30 @@ from rivalry.operators.ordered import counts_before, split_points, with_range
 FORMATS = ("bo1", "bo3", "bo5")
 
 
+_CUT = "\x01"
+
+
 def parsed_lines(lines: Column) -> Column:
-    """Array of (idx, team, action, map) for every line that follows the grammar; map may be NULL."""
-    def parse(x: Column) -> Column:
-        def part(i: int) -> Column:
-            return F.regexp_extract(x, C.VETO_ACTION_PATTERN, i)
-
-        is_action, is_decider = x.rlike(C.VETO_ACTION_PATTERN), x.rlike(C.VETO_DECIDER_PATTERN)
-        decider = F.struct(F.regexp_extract(x, C.VETO_DECIDER_PATTERN, 1).try_cast("int").alias("idx"), F.lit("").alias("team"),
-                           F.lit("decider").alias("action"), X.canonical_map(F.regexp_extract(x, C.VETO_DECIDER_PATTERN, 2)).alias("map"))
-        action = F.struct(part(1).try_cast("int").alias("idx"), X.normalize_name(part(2)).alias("team"),
-                          F.when(F.lower(part(3)) == "removed", "ban").otherwise("pick").alias("action"), X.canonical_map(part(4)).alias("map"))
-        return F.when(is_action, action).when(is_decider, decider)
+    """Array of (idx, team, action, map) for every line that follows the grammar; map may be NULL.
+
+    One replacement per pattern turns a line into its parts: four for a ban or pick,
+    two for the decider, one (the line itself) for anything else.
+    """
+    def cut(x: Column, pattern: str, groups: int) -> Column:
+        return F.split(F.regexp_replace(x, pattern, _CUT.join(f"${i + 1}" for i in range(groups))), _CUT)
 
     empty = F.array().cast("array<string>")
-    return F.filter(F.transform(F.transform(F.coalesce(lines, empty), lambda x: X.strip(x)), parse), lambda s: s.isNotNull())
+    parts = F.transform(F.coalesce(lines, empty), lambda x: cut(X.strip(x), C.VETO_ACTION_PATTERN, 4))
+    parts = F.transform(parts, lambda p: F.when(F.size(p) == 4, p).otherwise(cut(F.get(p, F.lit(0)), C.VETO_DECIDER_PATTERN, 2)))
+
+    def row(p: Column) -> Column:
+        action = F.size(p) == 4
+        return F.struct(
+            F.get(p, F.lit(0)).try_cast("int").alias("idx"), F.when(action, X.normalize_name(F.get(p, F.lit(1)))).otherwise("").alias("team"),
+            F.when(~action, "decider").when(F.lower(F.get(p, F.lit(2))) == "removed", "ban").otherwise("pick").alias("action"),
+            X.canonical_map(F.when(action, F.get(p, F.lit(3))).otherwise(F.get(p, F.lit(1)))).alias("map"))
+
+    return F.transform(F.filter(parts, lambda p: F.size(p) > 1), row)
 
 
 # ---- eras -----------------------------------------------------------------
