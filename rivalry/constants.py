@@ -169,6 +169,36 @@ PRESET_BAN_MODELS = {
     "ban_history_eventual": {"slot": 0.30, "eventual": 0.35, "team_ban": 0.15, "global": 0.05,
                              "avoidance": 0.10, "threat": 0.05},
 }
+# Values tried per signal; the rest of the weight goes to "global".
+WEIGHT_GRID = {"slot": [0.0, 0.35, 0.6], "eventual": [0.0, 0.25, 0.5], "team_ban": [0.0, 0.15, 0.3],
+               "avoidance": [0.0, 0.1], "threat": [0.0, 0.1]}
 BAN_SIGNALS = ["slot", "eventual", "team_ban", "global", "avoidance", "threat"]
 CALIBRATION_EDGES = [0.0, 0.025, 0.05, 0.075, 0.10, 0.15, 0.20, 0.30, 0.50, 1.0]
 EDGE_BUCKETS = [(0, 2, "<2%"), (2, 5, "2-5%"), (5, 10, "5-10%"), (10, 999, "10%+")]
+
+# ---- experiment column sets (fixed catalogue) ------------------------------
+# Each entry edits the model features: columns to drop or add, another head-to-head
+# window in days, or another rank strategy.
+SUSPICIOUS = ["lan_rate_diff", "dominance_diff", "resilience_diff"]
+DEPTH_COUNTS = ["team_a_gen_matches_30d", "team_b_gen_matches_30d"]
+DEPTH_LOGS = ["log_team_a_gen_matches_30d", "log_team_b_gen_matches_30d"]
+VARIANT_EDITS = {
+    "baseline_all": {},
+    "no_lan_rate": {"drop": ["lan_rate_diff"]},
+    "no_dominance_resilience": {"drop": ["dominance_diff", "resilience_diff"]},
+    "no_lan_dom_resilience": {"drop": SUSPICIOUS},
+    **{f"h2h_{days}d_counts": {"h2h_days": days} for days in (14, 30, 90)},
+    **{f"no_lan_dom_res_h2h_{days}d": {"drop": SUSPICIOUS, "h2h_days": days} for days in (14, 30, 90)},
+    "no_7d_form": {"drop": ["win_rate_7d_diff"]},
+    "single_sos_90d": {"drop": ["sos_diff"]},
+    "single_sos_30d": {"drop": ["sos_90d_diff"]},
+    "no_h2h": {"drop": ["h2h_a_wins_30d", "h2h_b_wins_30d"]},
+    "sample_depth_raw_counts": {"add": DEPTH_COUNTS},
+    "sample_depth_log_counts": {"add": DEPTH_LOGS},
+    "sample_depth_log_diff": {"add": ["log_gen_matches_30d_diff"]},
+    "sample_depth_min_log": {"add": ["log_min_gen_matches_30d"]},
+    "sample_depth_log_full": {"add": [*DEPTH_LOGS, "log_gen_matches_30d_diff", "log_min_gen_matches_30d"]},
+    "sample_depth_all_counts": {"add": [*DEPTH_COUNTS, "gen_matches_30d_diff", "min_gen_matches_30d", *DEPTH_LOGS,
+                                        "log_gen_matches_30d_diff", "log_min_gen_matches_30d"]},
+    **{f"rank_{name}": {"rank": name} for name in RANK_STRATEGIES},
+}

@@ -66,33 +66,20 @@ def with_folds(df: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 # ---- feature variants -----------------------------------------------------
+def edited_features(edit: dict, base: list[str] = C.MODEL_FEATURES) -> list[str]:
+    """The base column list after one catalogue edit."""
+    renames = {}
+    if "h2h_days" in edit:
+        renames |= {f: f.replace("_30d", f"_{edit['h2h_days']}d") for f in base if f.startswith("h2h_")}
+    if "rank" in edit:
+        renames |= {"rank_diff": f"rank_{edit['rank']}_diff", "avg_log_rank": f"avg_log_rank_{edit['rank']}"}
+    kept = [renames.get(f, f) for f in base if f not in edit.get("drop", ())]
+    return kept + [c for c in edit.get("add", ()) if c not in kept]
+
+
 def feature_variants() -> dict[str, list[str]]:
     """The 30 named column sets."""
-    base = C.MODEL_FEATURES
-
-    def without(*cols):
-        return [f for f in base if f not in cols]
-
-    def h2h(days, cols=base):
-        return [f.replace("_30d", f"_{days}d") if f.startswith("h2h_") else f for f in cols]
-
-    def ranked(name):
-        return [{"rank_diff": f"rank_{name}_diff", "avg_log_rank": f"avg_log_rank_{name}"}.get(f, f) for f in base]
-
-    suspicious = ("lan_rate_diff", "dominance_diff", "resilience_diff")
-    raw = ["team_a_gen_matches_30d", "team_b_gen_matches_30d"]
-    logs = ["log_team_a_gen_matches_30d", "log_team_b_gen_matches_30d"]
-    diff, low = "log_gen_matches_30d_diff", "log_min_gen_matches_30d"
-    out = {
-        "baseline_all": list(base), "no_lan_rate": without("lan_rate_diff"), "no_dominance_resilience": without("dominance_diff", "resilience_diff"),
-        "no_lan_dom_resilience": without(*suspicious), **{f"h2h_{d}d_counts": h2h(d) for d in (14, 30, 90)},
-        **{f"no_lan_dom_res_h2h_{d}d": h2h(d, without(*suspicious)) for d in (14, 30, 90)}, "no_7d_form": without("win_rate_7d_diff"),
-        "single_sos_90d": without("sos_diff"), "single_sos_30d": without("sos_90d_diff"), "no_h2h": [f for f in base if not f.startswith("h2h_")],
-        "sample_depth_raw_counts": base + raw, "sample_depth_log_counts": base + logs, "sample_depth_log_diff": base + [diff], "sample_depth_min_log": base + [low],
-        "sample_depth_log_full": base + logs + [diff, low], "sample_depth_all_counts": base + raw + ["gen_matches_30d_diff", "min_gen_matches_30d"] + logs + [diff, low],
-        **{f"rank_{name}": ranked(name) for name in C.RANK_STRATEGIES},
-    }
-    return out
+    return {name: edited_features(edit) for name, edit in C.VARIANT_EDITS.items()}
 
 
 def preset_variants(preset: str) -> list[str]:

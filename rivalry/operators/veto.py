@@ -7,6 +7,7 @@ numbers and remaining pools need no window. Only the history counts are shuffled
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -280,19 +281,12 @@ def ban_signals(matches: DataFrame) -> DataFrame:
 MODEL_SCHEMA = "model string, weights map<string,double>"
 
 
-def weight_grid() -> dict[str, dict[str, float]]:
-    """Coarse weight grid; combinations whose weights exceed one are left out."""
-    out = {}
-    for slot in (0.0, 0.35, 0.6):
-        for eventual in (0.0, 0.25, 0.5):
-            for team_ban in (0.0, 0.15, 0.3):
-                for avoidance in (0.0, 0.1):
-                    for threat in (0.0, 0.1):
-                        rest = 1.0 - slot - eventual - team_ban - avoidance - threat
-                        if rest >= -1e-9:
-                            out[f"grid_{len(out) + 1:04d}"] = {"slot": slot, "eventual": eventual, "team_ban": team_ban, "global": max(rest, 0.0),
-                                                                "avoidance": avoidance, "threat": threat}
-    return out
+def weight_grid(values: dict[str, list[float]] = C.WEIGHT_GRID) -> dict[str, dict[str, float]]:
+    """Every combination of the listed weights whose sum stays within one, numbered in order."""
+    combos = [dict(zip(values, c)) for c in product(*values.values())]
+    rests = [1.0 - sum(c.values()) for c in combos]
+    usable = [{**c, "global": max(r, 0.0)} for c, r in zip(combos, rests) if r >= -1e-9]
+    return {f"grid_{i:04d}": w for i, w in enumerate(usable, 1)}
 
 
 def model_frame(spark, models: dict[str, dict[str, float]] = C.PRESET_BAN_MODELS) -> DataFrame:
