@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,17 +25,37 @@ def local_session(cpus: int | None = None, app: str = "rivalry", memory: str = "
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+_LOCAL_ROOT: list[str] = []
+
 
-    The cluster names a shared folder in that setting. Only where it is unset,
-    as in local tests, a temporary folder is chosen and recorded in the session.
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a session whose master is local may leave it unset; it then gets a temporary
+    folder of its own. A cluster without the setting gets an error that names it, because
+    executors would write to their own disks. The session's settings are not changed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="rivalry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/rivalry-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="rivalry-"))
+    return _LOCAL_ROOT[0]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder name below the shared root; nothing is created yet."""
+    return f"{shared_root(spark)}/rivalry-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Deletes a run's folder once its results are no longer read; only names this library made."""
+    if not re.search(r"/rivalry-[0-9a-f]{32}(/|$)", path):
+        raise ValueError(f"not a folder of this library: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def persist_table(df, path: str | None = None):
