@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import quality, warc
+from rivalry.llm import mixing, orc_tokens, packing, quality, secrets, warc
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -55,3 +55,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.apply_policy(ledger, "base", "base_ok"), "v1")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          (~F.col("base_ok")).alias("base_failed"), (F.col("kept") & F.col("base_ok")).alias("kept"), "rule_bits")
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.joined("spans", secrets.KINDS[:3]).cast("binary"), 256).alias("base_sha256"),
+                        secrets.joined("spans", secrets.KINDS).alias("spans"), count("random"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = orc_tokens.write_tokens(table(spark, sf_dir, "documents"), shared_folder(spark))
+    return orc_tokens.positions(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_source_mix")
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
