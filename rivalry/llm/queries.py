@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import caps, jaccard, mixing, orc_tokens, packing, quality, secrets, warc
+from rivalry.llm import caps, jaccard, mixing, orc_tokens, packing, quality, repeats, secrets, warc
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -105,3 +105,8 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.component_id FROM n JOIN (SELECT a
 @query("op10_ngram_jaccard", OP10_SQL)
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query("op8_repeated_bytes")
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
