@@ -1,7 +1,76 @@
-"""Corpus pipeline (stages are added below)."""
-STAGES = []
+"""Documents to packed training sequences: rules, near duplicates, secrets, mixture, packing.
+
+Every stage works on all rows its predecessor kept. Defined cases: empty tables pass through;
+null texts have no words and go at the first stage; rows with a null id are never near
+duplicates of others; rows that repeat an id count as one document for the near-duplicate
+stage, which keeps one of them; extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivalry.llm import jaccard, mixing, packing, quality, secrets
+from rivalry.session import persist_table
+
+ROW = "corpus_row"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass every rule of the policy."""
+    return quality.apply_policy(quality.rule_ledger(docs), "v1").where("kept").select("doc.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the smallest id."""
+    found = jaccard.similar_documents(docs, 5, 80)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(ROW)
+    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select(f"{ROW}.*")
+    return single.unionByName(repeated.select(*docs.columns))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret; the document stays, with its length counted again."""
+    clean = secrets.redactor()(F.col("text"))
+    out = docs.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars").cast("long")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    mixed = mixing.mix(rows, keep=(ROW,)).where("times > 0")
+    return mixed.select(F.explode(F.array_repeat(ROW, F.col("times"))).alias(ROW)).select(f"{ROW}.*")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: The vocabulary and the hashes of the stages cannot be written in SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = persist_table(docs)
+    return docs

@@ -7,8 +7,8 @@ Everything is DataFrame expressions on the document's own row, so nothing is shu
 but the ablation counts (one row per distinct bit pattern and task).
 
 Defined cases: a null or blank text has no words and zero measurements, and fails
-``few_words``; null ids and extra columns pass through untouched; names of input columns
-that clash with the ledger's are an error only for the names in ``MEASURES``.
+``few_words``; null or repeated ids are rows like any other; the input row travels whole in
+the struct ``doc``, so no name of an extra column can clash; an empty table gives no rows.
 A word window is recognised by a 64-bit hash; windows are compared within one document only.
 """
 
@@ -81,27 +81,26 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns of ``MEASURES``. The words are split once (the generator keeps them in one place)."""
+    """(doc: the input row, and the columns of ``MEASURES``). The words are split once (the generator keeps them in one place)."""
     t = F.col("text_0")
     words = F.array_remove(F.split(t, BLANKS), "")
-    split = docs.withColumn("text_0", F.coalesce(F.col(text).cast("string"), F.lit(""))).select("*", F.inline(F.array(F.struct(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text_0"))
+    split = rows.select("doc", "text_0", F.inline(F.array(F.struct(
         words.alias("words_0"), F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines_0")))))
-    sized = split.select(
-        *[F.col(c) for c in docs.columns], F.size("words_0").cast("long").alias("n_words"),
+    return split.select(
+        "doc", F.size("words_0").cast("long").alias("n_words"),
         F.length(F.array_join("words_0", "")).cast("long").alias("word_chars"), _count(t, "[#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines_0") - F.size(F.array_distinct("lines_0"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words_0"), F.size("words_0")).cast("long").alias("n_repeat_words"),
         F.size("lines_0").cast("long").alias("n_lines"), _count(t, "\\p{Lu}+").alias("n_upper"), _count(t, "\\p{L}+").alias("n_letters"),
         _count(t, "[!?]{2,}").alias("n_marks"),
         F.size(F.filter("words_0", lambda w, i: w == F.get("words_0", i - 1))).cast("long").alias("n_stutter"))
-    return sized
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Measurements plus ``rule_bits``: bit i is set if rule i fails."""
-    measured = measure(docs, text)
+    """Input row (``doc``), measurements, and ``rule_bits``: bit i is set if rule i fails."""
     # one generated row keeps the measurements from being evaluated again for every rule
-    kept = measured.select(*[c for c in docs.columns], F.inline(F.array(F.struct(*MEASURES))))
+    kept = measure(docs, text).select("doc", F.inline(F.array(F.struct(*MEASURES))))
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
     return kept.withColumn("rule_bits", bits)
 

@@ -53,7 +53,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.rule_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality.apply_policy(quality.apply_policy(ledger, "base", "base_ok"), "v1")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          (~F.col("base_ok")).alias("base_failed"), (F.col("kept") & F.col("base_ok")).alias("kept"), "rule_bits")
 
 
