@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import caps, jaccard, mixing, orc_tokens, packing, quality, repeats, secrets, warc
+from rivalry.llm import caps, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -110,3 +110,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeated_bytes")
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model)
