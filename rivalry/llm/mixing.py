@@ -58,7 +58,7 @@ def _fit(lengths: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     took = np.zeros(len(lengths), dtype=np.int64)
     full = (1 << (budget + 1)) - 1
     layers, reach = [], 1
-    for i in np.flatnonzero((lengths <= budget) & (spare > 0)):
+    for i in np.flatnonzero((lengths > 0) & (lengths <= budget) & (spare > 0)):
         size, left, part = int(lengths[i]), int(min(spare[i], budget // int(lengths[i]))), 1
         while left and not reach >> budget & 1:
             n = min(part, left)
@@ -116,11 +116,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
         frame = frame.rename(columns={"mix_source": "source"}).astype({"source": object, "source_size": np.int64})
         frame["source"] = frame["source"].map(lambda x: None if pd.isna(x) else x)
         done = targets(frame, weights, most)
-        yield done[["mix_key", "source_size", "target"]]
+        yield done[["mix_key", "source_size", "target"]].astype({"mix_key": object})
 
     aims = sizes.coalesce(1).mapInPandas(share, "mix_key string, source_size long, target double")
 
-    def plan(key, group: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths, counts = group["mix_size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         order = np.argsort(lengths)
         lengths, counts = lengths[order], counts[order]

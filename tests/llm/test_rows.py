@@ -1,0 +1,150 @@
+"""Row-wise operators and archives against brute force: op1, op3, op4, op6, op7."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rivalry.llm import language, orc_tokens, quality, secrets, warc
+from rivalry.llm.tokens import PieceEncoder, vocabulary
+from rivalry.session import shared_folder
+
+DOCS = "doc_id long, text string, source string, n_words string, kept string"
+ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \n b  c", "\x1c x \x1d y", "l'x d's é,́ İst Σ. naïve-word x2y ａ a̧ ſt ﬁ",
+       "it's don't 'll 've", "<|endoftext|> a <|startoftext|>", "日本 語", "a\tb  \t c\r\n", "123 45 6'7", "tail  ", "\u0085 x \u0085", "😀 ok"]
+
+
+def docs(spark, texts, ids=None):
+    return spark.createDataFrame([(ids[i] if ids else i, t, "s", "x", "y") for i, t in enumerate(texts)], DOCS)
+
+
+def test_warc_round_trip(spark):
+    big, small = "B" * 1500, "s" * 10
+    rows = [(1, "http://a/1", big), (5, "http://a/5\r\nX: y", big), (3, None, big), (7, "http://b", small), (8, "http://c", small),
+            (9, "u", None), (10, "u", ""), (None, "n", big), (11, "t", "T" * 1000), (11, "t", "T" * 1000)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, digest string, header string")
+    path = warc.write_archive(df, shared_folder(spark))
+    got = {(r.record_id, r.payload_bytes): r for r in warc.read_archive(spark, path).collect()}
+    assert got[5, 1500].record_type == "response" and got[5, 1500].refers_to is None
+    for key in (1, 3):
+        assert (got[key, 1500].record_type, got[key, 1500].refers_to) == ("revisit", 5)
+    assert got[-(2**63), 1500].record_type == "revisit"
+    assert {got[k].record_type for k in ((7, 10), (8, 10), (9, 0), (10, 0), (11, 1000))} == {"response"}
+    assert got[1, 1500].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+    assert warc.read_payloads(spark, path).count() == 4  # big, small, empty, T: each once
+    full = {r.record_id: r for r in warc.rebuild_records(spark, path).collect()}
+    head, _, rest = bytes(full[7].record).partition(b"\r\n\r\n")
+    assert b"WARC-Type: response" in head and rest.endswith(b"\r\n\r\n" + small.encode() + b"\r\n\r\n")
+    assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(rest) - 4
+    assert b"%0D%0AX: y" in bytes(full[5].record) and bytes(full[1].payload) == big.encode()
+    assert warc.read_archive(spark, warc.write_archive(df.where("false"), shared_folder(spark))).count() == 0
+
+
+def test_warc_detects_damage(spark):
+    path = shared_folder(spark)
+    spark.createDataFrame([("0" * 64, bytearray(b"x"))], "digest string, payload binary").write.parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_payloads(spark, path).collect()
+
+
+def brute_rules(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if grams[tuple(words[i:i + 8])] > 1 for j in range(i, i + 8)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_rules_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n\t ", "one", "#a *b", "a\na\na\n\na", "w " * 40, "x" * 5000, *ODD]
+    texts += [" ".join(rng.choice(["a", "bb", "ccc", "d\nd", "é"], int(n))) for n in rng.integers(1, 120, 60)]
+    texts += ["p q r s t u v w " + " ".join(map(str, range(60))) + " p q r s t u v w", "long word " * 30_000]
+    led = quality.rule_ledger(docs(spark, texts, [None, *range(1, len(texts))]))
+    out = quality.apply_policy(quality.apply_policy(led, "base", "base_ok"), "v1").collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = brute_rules(r.doc.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_ok == (want[0] >= 20 and 100 * want[4] <= 30 * want[0]) and (not r.kept or r.base_ok)
+    assert led.where("false").count() == 0
+
+
+def test_ablation_counts_from_bits(spark):
+    led = spark.createDataFrame([(1,), (1,), (3,), (2,), (0,), (256,)], "rule_bits long")
+    got = {r.rule: (r.failed, r.failed_alone, r.kept_without) for r in quality.ablation(led, "base").collect()}
+    assert got == {"few_words": (3, 2, 4), "repeated_windows": (2, 1, 3)}
+
+
+def test_secrets(spark):
+    key = "Zx9Qw3Lk7Vb2Nm5Tr8Yp1Hd4Gf6Js0"
+    uuid, snake = "123e4567-e89b-12d3-a456-426614174000", "user_account_settings_page_2024_view"
+    texts = [None, "", "password = hunter22, TOKEN:'abcdef' secret: ab", "secret: token: abcdefgh", "AKIA" + "A" * 15 + " AKIA" + "B" * 16,
+             "x " + "0123456789abcdef" * 2 + "g", f"see {key} and {uuid} {snake}", "ﬁ é " + key, "paſſword=abcdefg", key + "\n" + key]
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs(spark, texts)).collect()}
+    assert out[0] == out[1] == out[8] == []
+    assert out[2] == [("assign", 0, 19), ("assign", 21, 34)]
+    assert out[3] == []  # the first match takes the second keyword with it
+    assert out[4] == [("access", 20, 40)] and out[5] == [("hex", 2, 34)]
+    assert out[6] == [("random", 4, 35)] and out[7] == [("random", 4, 35)]
+    assert len(out[9]) == 2
+    known = secrets.find_secrets(docs(spark, texts), known_digests=(key,)).where("doc_id = 6").first()
+    assert list(known.spans) == []
+    clean = docs(spark, texts).select("doc_id", secrets.redactor()("text").alias("t")).collect()
+    assert clean[0].t is None and clean[6].t == f"see [SECRET] and {uuid} {snake}"
+    both = secrets.find_secrets(docs(spark, texts), redact="#").collect()
+    assert both[2].text == "#, #' secret: ab"
+
+
+@pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_equal_whole_texts(name, keeps):
+    enc = PieceEncoder(vocabulary(name), keeps)
+    rng = np.random.default_rng(5)
+    alphabet = list("abzAZéßñİΣ .,!'\n\t\r0123-_ ́|#") + ["the ", " is", "  ", "'s "]
+    texts = ODD + ["".join(rng.choice(alphabet, 60)) for _ in range(400)]
+    for t in texts:
+        assert enc.encode(t, 9).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids + [9], t
+
+
+def test_orc_round_trip(spark):
+    texts = [None, "", *ODD, "a b c " * 5000]
+    ids = [None, 3, *range(10, 10 + len(ODD)), 5]
+    df = docs(spark, texts, ids).repartition(3)
+    path = orc_tokens.write_tokens(df, shared_folder(spark), file_bytes=2000)
+    got = orc_tokens.positions(spark, path).collect()
+    enc = PieceEncoder(vocabulary("word_bpe_49k.json"), False)
+    want, at = [], 0
+    for key, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0)):
+        x = enc.encode(t or "", 1)
+        want.append((key, at, len(x), zlib.crc32(x.tobytes())))
+        at += len(x)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+    assert len({r.file for r in got}) > 1
+    one = orc_tokens.read_tokens(spark, path).where("doc_id = 5")
+    assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in one._jdf.queryExecution().toString()
+    empty = orc_tokens.write_tokens(df.where("false"), shared_folder(spark))
+    assert orc_tokens.positions(spark, empty).count() == 0
+
+
+def test_language(spark):
+    root = "/root/testdata/sf0.001"
+    data = spark.read.parquet(f"{root}/documents.parquet").where("length(text) > 60")
+    test = F.pmod("doc_id", F.lit(4)) == 0
+    model = language.fit(data.where(~test))
+    held = data.where(test)
+    out = language.identify(held, model, "doc_id", None, "text", False).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.language == r.lang for r in out) >= 0.97 * len(out)
+    rows = [(1, None, None), (2, "not a url", ""), (3, "http://x.de/", "<html lang='de'></html>")]
+    rows += [(10 + i, "http://www.x.de/", f"<html lang='de'><p>{r.text}</p></html>") for i, r in enumerate(data.where("lang = 'de'").take(12))]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, language string")
+    got = {r.page_id: r for r in language.identify(df, model).collect()}
+    assert len(got) == 15 and got[3].language == "de" and got[3].declared == "de" and got[1].host is None
+    assert all(0 < r.probability <= 1 for r in got.values())
+    assert language.identify(df.where("false"), model).count() == 0
+    with pytest.raises(ValueError, match="no labelled rows"):
+        language.fit(data.where("false"))
