@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rivalry import constants as C
 from rivalry.functions import stats as S
 from rivalry.functions import text as X
+from rivalry.operators.ordered import first_row
 
 
 # ---- odds -----------------------------------------------------------------
@@ -70,7 +71,6 @@ def odds_summary(odds: DataFrame, keys: list[str]) -> DataFrame:
 
 def dedupe_books(odds: DataFrame, keys: list[str]) -> DataFrame:
     """One row per book and rounded prices; the first listed wins."""
-    from rivalry.operators.ordered import first_row
 
     d = odds.where(F.col("odds_a").isNotNull() & F.col("odds_b").isNotNull())
     d = d.select("*", F.lower("bookmaker").alias("book_key"), F.round("odds_a", 3).alias("a3"), F.round("odds_b", 3).alias("b3"))
@@ -86,9 +86,14 @@ def with_median_odds(df: DataFrame) -> DataFrame:
 
 # ---- snapshots ------------------------------------------------------------
 def latest_snapshot(matches: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each match with its newest snapshot and its snapshot count."""
+    """Each match with its newest snapshot and its snapshot count.
+
+    Newest is by ``snapshot_time`` where the snapshots carry one, then by id: ids that are
+    hashes of the prediction's key have no order of their own.
+    """
     rest = [c for c in snapshots.columns if c != "match_url"]
-    last = snapshots.groupBy("match_url").agg(F.max_by(F.struct(*rest), "id").alias("s"), F.count("*").alias("num_snapshots"))
+    order = F.struct("snapshot_time", "id") if "snapshot_time" in rest else F.col("id")
+    last = snapshots.groupBy("match_url").agg(F.max_by(F.struct(*rest), order).alias("s"), F.count("*").alias("num_snapshots"))
     keep = [c for c in rest if c not in matches.columns]
     return matches.join(last.select("match_url", "num_snapshots", *[F.col("s")[c].alias(c) for c in keep]), "match_url")
 
@@ -125,12 +130,15 @@ def odds_history(book_odds: DataFrame, snapshots: DataFrame, match_url) -> DataF
 def new_snapshots(predictions: DataFrame, known_matches: DataFrame, seen: str) -> dict[str, DataFrame]:
     """The three appends of a prediction batch: unseen matches, snapshots, book odds.
 
-    Snapshot ids come from the prediction's own key, so a retried batch writes the same ids.
+    Snapshot ids come from the prediction's own key, so a retried batch writes the same ids;
+    ``snapshot_time`` orders the batches.
     """
     named = predictions.where(X.text(F.col("match_url").cast("string")) != "")
-    fresh = named.select("match_url", "team_a", "team_b", "format", "match_date", "match_time").dropDuplicates(["match_url"])
+    fresh = named.select("match_url", "team_a", "team_b", "format", "match_date", "match_time")
+    # of a match that repeats in the batch always the same row is stored
+    fresh = first_row(fresh, ["match_url"], ["team_a", "team_b", "format", "match_date", "match_time"])
     fresh = fresh.join(known_matches.select("match_url"), "match_url", "left_anti").withColumn("first_seen", F.lit(seen)).withColumn("result", F.lit("Pending"))
-    snaps = edge_columns(named.withColumn("id", F.xxhash64("match_url", "version_id", F.lit(seen))))
+    snaps = edge_columns(named.withColumn("id", F.xxhash64("match_url", "version_id", F.lit(seen))).withColumn("snapshot_time", F.lit(seen)))
     books = named.select("match_url", F.xxhash64("match_url", "version_id", F.lit(seen)).alias("snapshot_id"), F.explode("bookmaker_odds").alias("o"))
     books = books.select("snapshot_id", "match_url", "o.*").where((F.coalesce("odds_a", F.lit(0.0)) != 0) & (F.coalesce("odds_b", F.lit(0.0)) != 0))
     ia, ib = 1 / F.col("odds_a"), 1 / F.col("odds_b")

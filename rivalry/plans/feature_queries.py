@@ -201,8 +201,12 @@ def compute_features(t):
     return rounded(X.compute_features(t.view("maps")))
 
 
-@query("P13_min_history_filter", over("maps", body=f"{FULL_FEATURES} SELECT match_id, map_pos, team_a_gen_matches_30d, "
-       "team_b_gen_matches_30d FROM feats WHERE team_a_gen_matches_30d >= 1 AND team_b_gen_matches_30d >= 1"))
+@query("P13_min_history_filter", over("maps", body=f"""{SIDES}, n30 AS (
+    SELECT d.team, d.date, count(h.match_id) AS n FROM days d
+    LEFT JOIN sides h ON h.team = d.team AND h.date < d.date AND h.date >= d.date - 30 GROUP BY 1, 2)
+    SELECT m.match_id, m.map_pos, a.n AS team_a_gen_matches_30d, b.n AS team_b_gen_matches_30d
+    FROM maps m JOIN n30 a ON a.team = m.team_a_id AND a.date = m.date JOIN n30 b ON b.team = m.team_b_id AND b.date = m.date
+    WHERE a.n >= 1 AND b.n >= 1"""))
 def min_history(t):
     f = X.min_history_filter(X.compute_features(t.view("maps")))
     return f.select("match_id", "map_pos", "team_a_gen_matches_30d", "team_b_gen_matches_30d")
@@ -310,3 +314,13 @@ def rank_enrich(t):
     SELECT t.team, coalesce(l.r, 750) AS latest_rank FROM (SELECT DISTINCT team FROM o) t LEFT JOIN l ON l.team = t.team AND l.n = 1"""))
 def latest_rank(t):
     return X.latest_rank(t.view("maps"))
+
+
+@query("W14_unseen_map_features", over("maps", body=f"{FULL_FEATURES} SELECT {feature_columns()}, match_id, map_pos, "
+    "team_a_gen_matches_30d, team_b_gen_matches_30d FROM feats"))
+def unseen_map_features(t):
+    """Contests to be scored, without any outcome, get the features that the played rows have."""
+    maps = t.view("maps")
+    unseen = maps.drop("winner_id", "score_a", "score_b")
+    f = X.compute_features(maps, unseen)
+    return rounded(f.select(*C.MODEL_FEATURES, "match_id", "map_pos", "team_a_gen_matches_30d", "team_b_gen_matches_30d"))

@@ -551,6 +551,29 @@ def append_snapshots(t):
     return out
 
 
+@query("SNK5_latest_after_append", over("ledger_matches", body=""" SELECT match_url, CASE WHEN match_url % 3 = 0 THEN 1::BIGINT ELSE 2 END AS num_snapshots,
+    CASE WHEN match_url % 3 = 0 THEN '2024-01-01 00:00:00' ELSE '2024-01-02 00:00:00' END AS snapshot_time,
+    CASE WHEN match_url % 3 = 0 THEN 0.6E0 ELSE 0.7E0 END AS model_prob_a FROM ledger_matches"""))
+def latest_after_append(t):
+    """Two batches and a retry of the second are appended; the newest snapshot of a match is the later batch's."""
+    from rivalry.operators import ledger as L
+
+    matches = t.view("ledger_matches")
+    odds = F.array(F.struct(F.lit("b1").alias("bookmaker"), F.lit(2.0).alias("odds_a"), F.lit(1.8).alias("odds_b")))
+
+    def batch(rows, p, seen):
+        pred = rows.drop("result", "date").withColumns({"version_id": F.lit("v1"), "model_prob_a": F.lit(p), "odds_a": F.lit(2.0), "odds_b": F.lit(1.8),
+                                                        "edge_a": F.lit(10.0), "edge_b": F.lit(-15.0), "bookmaker_odds": odds})
+        return L.new_snapshots(pred, matches, seen)["snapshots"]
+
+    path = shared_folder(t.spark)
+    later = matches.where(F.col("match_url") % 3 != 0)
+    for rows, p, seen in ((later, 0.7, "2024-01-02 00:00:00"), (matches, 0.6, "2024-01-01 00:00:00"), (later, 0.7, "2024-01-02 00:00:00")):
+        batch(rows, p, seen).write.mode("append").parquet(path)
+    stored = L.first_row(t.spark.read.parquet(path), ["id"], ["snapshot_time"])
+    return L.latest_snapshot(matches.select("match_url"), stored).select("match_url", "num_snapshots", "snapshot_time", "model_prob_a")
+
+
 @query("SNK6_upsert_evaluation", over("versions", body=" SELECT version_id, 'test' AS eval_name, CASE WHEN trained_at % 2 = 0 THEN 21 ELSE 20 END AS rows FROM versions"))
 def upsert_evaluation(t):
     v = t.view("versions")
@@ -642,7 +665,7 @@ def winner_splits(t: Tables):
 @query("M5_winner_classifier")
 def winner(t):
     train, val, test = winner_splits(t)
-    model, _ = ML.fit_winner(P.mirror_rows(train.select(*C.MODEL_FEATURES, "label")), val, seeds=(0, 1), max_iter=15)
+    model, _ = ML.fit_winner(P.mirror_rows(train.select(*C.MODEL_FEATURES, "label")), val)
     scale = ML.fit_scale(P.mirror_rows(train.select(*C.MODEL_FEATURES, "label")), C.MODEL_FEATURES)
     rows = test.select("match_id", "map_pos", "label", *[F.col(f).cast("double").alias(f) for f in C.MODEL_FEATURES])
     return rounded(ML.score_frame(model, ML.standardise(rows, scale, C.MODEL_FEATURES)).select("match_id", "map_pos", "label", "p"), 4)
@@ -656,26 +679,43 @@ def score(t):
     return rounded(ML.score_frame(model, ML.standardise(test, scale, C.MODEL_FEATURES)).select("match_id", "map_pos", "p"), 4)
 
 
-@query("M9_known_map_prediction")
+# both starters' probabilities of the known maps, and all outcomes of a best-of-n, enumerated
+_KNOWN = """, st AS (SELECT unnest([{'s': 'a', 'k': 0}, {'s': 'b', 'k': 6}]) AS st)
+, pr AS (SELECT match_id, st.s AS starter, CASE match_format WHEN 'bo1' THEN 1 WHEN 'bo3' THEN 3 ELSE 5 END AS n,
+         list_transform([37, 41, 43, 47, 53], lambda m: ((match_id * (m + st.k)) % 97 + 1) / 99.0E0) AS ps FROM series, st)
+, oc AS (SELECT *, unnest(range(0, CAST(2 ** n AS INT))) AS o FROM pr)
+, ow AS (SELECT *, list_transform(range(0, n), lambda i: (o // CAST(2 ** i AS INT)) % 2) AS bits,
+         list_product(list_transform(range(0, n), lambda i: CASE WHEN (o // CAST(2 ** i AS INT)) % 2 = 1 THEN ps[i + 1] ELSE 1 - ps[i + 1] END)) AS pp FROM oc)
+, oz AS (SELECT *, list_filter(range(1, n + 1), lambda k: list_sum(bits[1:k]) = n // 2 + 1 OR k - list_sum(bits[1:k]) = n // 2 + 1)[1] AS stop FROM ow)
+, ls AS (SELECT match_id, starter, CAST(CAST(list_sum(bits[1:stop]) AS INT) AS VARCHAR) || '-' || CAST(CAST(stop - list_sum(bits[1:stop]) AS INT) AS VARCHAR) AS outcome,
+         sum(pp) AS p FROM oz GROUP BY ALL
+         UNION ALL SELECT match_id, starter, 'win', sum(pp) FILTER (list_sum(bits) >= n // 2 + 1) FROM oz GROUP BY ALL)
+SELECT match_id, outcome, round(avg(p), 6) AS probability FROM ls GROUP BY ALL"""
+
+
+@query("M9_known_map_prediction", over("series", body=_KNOWN))
 def known_maps(t):
-    """Series probability of every series from its known maps, both starters averaged."""
-    train, _, test = winner_splits(t)
-    scale = ML.fit_scale(train, C.MODEL_FEATURES)
-    model = ML.logistic_pipeline(C.MODEL_FEATURES, [], 1.0, train.count(), "label").fit(ML.standardise(train, scale, C.MODEL_FEATURES))
-    both = None
-    for starter in ("a", "b"):
-        n = F.when(F.col("match_format") == "bo5", 5).when(F.col("match_format") == "bo3", 3).otherwise(1)
-        who = B.map_picker(F.col("map_pos") - 1, n, F.lit(starter))
-        d = test.withColumn("picker_diff", F.when(who == "a", 1).when(who == "b", -1).otherwise(0))
-        s = ML.score_frame(model, ML.standardise(d, scale, C.MODEL_FEATURES)).select("match_id", "match_format", "map_pos", "p")
-        both = s if both is None else both.unionByName(s)
-    per_map = both.groupBy("match_id", "match_format", "map_pos").agg(F.avg("p").alias("p"))
-    # a best-of-five has at most five positions; later positions do not enter the series
-    ps = [F.max(F.when(F.col("map_pos") == i, F.col("p"))).alias(f"p{i}") for i in range(1, 6)]
-    g = per_map.groupBy("match_id", "match_format").agg(*ps)
-    arr, f = F.array_compact(F.array(*[f"p{i}" for i in range(1, 6)])), F.col("match_format")
-    win = F.when(f == "bo1", B.combine_probs(arr, 1)).when(f == "bo3", B.combine_probs(F.slice(arr, 1, 3), 3)).otherwise(B.combine_probs(arr, 5))
-    return rounded(g.select("match_id", win.alias("p_series")), 4)
+    """Series and scoreline probability of every series from given map probabilities of both starters."""
+    p = F.array(*[F.struct(F.lit(s).alias("starter"), F.lit(i + 1).alias("map_pos"), (((F.col("match_id") * (m + k)) % 97 + 1).cast("double") / 99).alias("p"))
+                  for s, k in (("a", 0), ("b", 6)) for i, m in enumerate((37, 41, 43, 47, 53))])
+    return rounded(S.known_map_series(t.view("series").select("match_id", "match_format", F.inline(p))))
+
+
+@query("M9_winner_model_series")
+def winner_series(t):
+    """The same from the winner model: every series is probed as unseen, once per starter."""
+    maps = t.view("maps")
+    train, val, _ = winner_splits(t)
+    mirrored = P.mirror_rows(train.select(*C.MODEL_FEATURES, "label"))
+    model, _ = ML.fit_winner(mirrored, val)
+    probes = persist_table(P.compute_features(maps, maps.drop("winner_id", "score_a", "score_b")))
+    n = F.when(F.col("match_format") == "bo5", 5).when(F.col("match_format") == "bo3", 3).otherwise(1)
+    both = probes.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("starter"))
+    who = B.map_picker(F.col("map_pos") - 1, n, F.col("starter"))
+    both = both.withColumn("picker_diff", F.when(who == "a", 1).when(who == "b", -1).otherwise(0))
+    rows = both.select("match_id", "match_format", "map_pos", "starter", *[F.col(f).cast("double").alias(f) for f in C.MODEL_FEATURES])
+    scored = ML.score_frame(model, ML.standardise(rows, ML.fit_scale(mirrored, C.MODEL_FEATURES), C.MODEL_FEATURES))
+    return rounded(S.known_map_series(scored.select("match_id", "match_format", "starter", "map_pos", "p")), 4)
 
 
 @query("E6_experiment_run")

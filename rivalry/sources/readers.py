@@ -28,14 +28,19 @@ def read_matches(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     ``multi_line`` reads a file that is one array.
     """
     raw = spark.read.schema(RAW_SCHEMA).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    bad = F.col("_corrupt_record").isNotNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed record: "), F.substring("_corrupt_record", 1, 200)))).otherwise(F.col("url"))
-    return raw.withColumn("url", checked.cast("string")).drop("_corrupt_record")
+    # a filter stays in the plan whatever columns are selected; it names a data column too, because
+    # Spark refuses to read the error column alone
+    shown = F.concat(F.lit("malformed record: "), F.substring("_corrupt_record", 1, 200), F.coalesce("url", F.lit("")))
+    good = F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(shown).cast("boolean")).otherwise(True)
+    return raw.where(good).drop("_corrupt_record")
 
 
-def read_table(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Parquet scan that fails early when a required column is absent."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+def read_table(spark: SparkSession, path: str, required: list[str], merge: bool = False) -> DataFrame:
+    """Parquet scan that fails early when a required column is absent.
+
+    ``merge`` reads the footer of every file to unite their schemas; it is off by default.
+    """
+    df = spark.read.option("mergeSchema", merge).parquet(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks required columns: {', '.join(missing)}")

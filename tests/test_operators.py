@@ -182,3 +182,37 @@ def test_variant_catalogue():
     assert len(v["baseline_all"]) == 17
     assert len(E.preset_variants("full")) == 28
     assert len(V.weight_grid()) == 78
+
+
+def test_malformed_json_raises_whatever_is_selected(spark, tmp_path):
+    from rivalry.sources.readers import read_matches
+
+    path = tmp_path / "records.json"
+    path.write_text('{"url": "u1", "event": "e"}\n{"url": "u2", "event": \n')
+    for read in (lambda d: d.select("event").collect(), lambda d: d.count(), lambda d: d.select("url").collect()):
+        with pytest.raises(Exception, match="malformed record"):
+            read(read_matches(spark, str(path)))
+    path.write_text('{"url": "u1", "event": "e"}\n')
+    assert read_matches(spark, str(path)).count() == 1
+
+
+def test_starters_are_combined_before_they_are_averaged(spark):
+    from rivalry.operators.paths import known_map_series
+
+    rows = [("m", "bo3", s, i + 1, p) for s, ps in (("a", (0.9, 0.2, 0.9)), ("b", (0.5, 0.6, 0.9))) for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "match_id string, match_format string, starter string, map_pos int, p double")
+    got = {r.outcome: r.probability for r in known_map_series(df).collect()}
+    assert got["win"] == pytest.approx(0.798, abs=1e-9)
+    assert sum(v for k, v in got.items() if k != "win") == pytest.approx(1)
+
+
+def test_shared_folder_needs_the_setting_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from rivalry.session import shared_root
+
+    conf = N(get=lambda *a: None)
+    assert shared_root(N(conf=conf, sparkContext=N(master="local[4]")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(N(conf=conf, sparkContext=N(master="local-cluster[3,2,1000]")))
+    assert shared_root(N(conf=N(get=lambda *a: "hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"
