@@ -10,13 +10,14 @@ against encoding each text whole.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
 #: Pieces that a worker remembers in each of two generations; bounds memory, never the result.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: A blank that follows a non-blank: both vocabularies start a new token there.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: A run of letters that no normaliser joins with its neighbours, then nothing or an ASCII sign and the rest.
@@ -27,14 +28,21 @@ class _Unsure(Exception):
     pass
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    """Letters of WORD in the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in plain]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
 
 BYTE_LETTERS = _byte_letters()
+#: A blank in the same alphabet.
+BLANK = "\u0120"
 
 
 class Generations(dict):
@@ -67,22 +75,23 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.keeps_blanks = keeps_blanks
         self.later = Generations(self._after_blank)  # pieces after a blank
+        self.words = Generations(self._word)  # runs of letters after a blank
         self.alone = Generations(self._whole)  # pieces as they stand
 
     def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _word(self, letters: str) -> bytes:
         """One run of letters is one word of the model: its normaliser and splitter are not needed."""
-        text = " " + letters if self.keeps_blanks else letters.lower()
-        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        text = letters if self.keeps_blanks else letters.lower()
+        text = text if text.isascii() else text.translate(BYTE_LETTERS)
+        return _packed([t.id for t in self.model.tokenize(BLANK + text if self.keeps_blanks else text)])
 
     def _after_blank(self, piece: str) -> bytes:
         if self.keeps_blanks and (not piece or piece[-1].isspace()):
             raise _Unsure  # blanks in a row form tokens of their own
         if m := WORD.fullmatch(piece):
-            return self._word(m[1]) + (self.alone[m[2]] if m[2] else b"")
+            return self.words[m[1]] + self.alone[m[2]] if m[2] else self.words[m[1]]
         return self._whole(" " + piece if self.keeps_blanks else piece)
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
