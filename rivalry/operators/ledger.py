@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivalry import constants as C
 from rivalry.functions import stats as S
 from rivalry.functions import text as X
-from rivalry.operators.ordered import first_row
+from rivalry.operators.ordered import first_row, last_row
 
 
 # ---- odds -----------------------------------------------------------------
@@ -149,8 +149,6 @@ def new_snapshots(predictions: DataFrame, known_matches: DataFrame, seen: str) -
 # ---- settlement -----------------------------------------------------------
 def index_by_url(corpus: DataFrame, order: str) -> DataFrame:
     """Records keyed by normalised URL; the last one wins."""
-    from rivalry.operators.ordered import last_row
-
     keyed = corpus.where(X.text(F.col("url")) != "").withColumn("url_key", X.normalize_url(F.col("url")))
     return last_row(keyed, ["url_key"], [order])
 
@@ -161,8 +159,8 @@ def name_match(x: Column, y: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def series_result(df: DataFrame, team_a: Column, team_b: Column, finished: Column | None = None, winner: Column | None = None) -> Column:
-    """forfeit / cancelled / declared winner / map-win majority, or NULL when unresolved."""
+def record_outcome() -> tuple[Column, Column]:
+    """From a record's own row: what settles it whatever the sides (forfeit, cancelled), and the majority winner's name."""
     info, fmt = F.lower(F.concat_ws(" ", "match_info")), F.lower(X.text(F.col("format")))
     default_map = F.coalesce(F.exists("hltv_maps", lambda m: F.lower(X.text(m["map_name"])).isin("default", "forfeit")), F.lit(False))
     is_forfeit = info.rlike("forfeit|walkover|withdraw") | fmt.contains("def") | default_map
@@ -175,15 +173,20 @@ def series_result(df: DataFrame, team_a: Column, team_b: Column, finished: Colum
 
     w1, w2 = side_wins(True), side_wins(False)
     need = X.required_wins(F.col("format"), F.col("match_info"))
-    best = F.when(w1 > w2, F.col("team1")).otherwise(F.col("team2"))
+    leader = F.when(w1 > w2, F.col("team1")).otherwise(F.col("team2"))
+    return (F.when(is_forfeit, "forfeit").when(info.contains("cancel"), "cancelled"),
+            F.when(need.isNull() | ((w1 < need) & (w2 < need)), None).otherwise(F.coalesce(leader, F.lit(""))))
 
-    def to_side(name: Column) -> Column:
-        return F.when(name_match(name, team_a), "team_a").when(name_match(name, team_b), "team_b").otherwise(F.concat(F.lit("unknown:"), name))
 
-    out = F.when(is_forfeit, "forfeit").when(info.contains("cancel"), "cancelled")
-    if finished is not None:
-        out = out.when(finished & (X.text(winner) != ""), to_side(winner))
-    return out.when(need.isNull() | ((w1 < need) & (w2 < need)), None).otherwise(to_side(best))
+def to_side(name: Column, team_a: Column, team_b: Column) -> Column:
+    return F.when(name_match(name, team_a), "team_a").when(name_match(name, team_b), "team_b").otherwise(F.concat(F.lit("unknown:"), name))
+
+
+def series_result(df: DataFrame, team_a: Column, team_b: Column, finished: Column | None = None, winner: Column | None = None) -> Column:
+    """forfeit / cancelled / declared winner / map-win majority, or NULL when unresolved."""
+    fixed, leader = record_outcome()
+    declared = F.when(finished & (X.text(winner) != ""), to_side(winner, team_a, team_b)) if finished is not None else F.lit(None).cast("string")
+    return F.coalesce(fixed, declared, F.when(leader.isNotNull(), to_side(leader, team_a, team_b)))
 
 
 def participant_change(team_a: Column, team_b: Column, final_a: Column, final_b: Column) -> Column:
@@ -197,25 +200,33 @@ def eval_reason(status: Column, size_reason: Column) -> Column:
                       F.concat(F.lit("non-standard roster: "), size_reason))
 
 
+#: Keys up to which a filter by them is broadcast.
+FEW_KEYS = 100_000
+
+
 def settle_join(matches: DataFrame, corpus: DataFrame, order: str = "match_key") -> DataFrame:
     """Ledger matches with their record's result and exclusion reasons (left, by URL id).
 
-    Results and reasons are reduced to a few short columns before the join, so the
-    nested records are not shuffled.
+    Everything but the names of the sides is decided in the record's row, so only short
+    columns are grouped and joined. Where the ledger rows are few, records are first
+    filtered by their keys; the check of that size costs one count of the ledger rows.
     """
     from rivalry.operators.clean import roster_size_reason, with_roster_flags
-    from rivalry.operators.ordered import last_row
 
-    recs = with_roster_flags(corpus)
-    recs = X.settle(recs, size_reason=roster_size_reason(F.col("hltv_maps")))
-    recs = recs.select(X.normalize_url(F.col("url")).alias("url_key"), F.col(order).alias("seq"), "team1", "team2", "format", "match_info", "hltv_maps",
-                       eval_reason(F.col("roster_status"), F.col("size_reason")).alias("eval_reason"))
     left = matches.withColumn("url_key", X.normalize_url(F.col("match_url").cast("string")))
+    keyed = corpus.withColumn("url_key", X.normalize_url(F.col("url")))
+    if left.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        keyed = keyed.join(F.broadcast(left.select("url_key")), "url_key", "left_semi")
+    recs = with_roster_flags(keyed)
+    fixed, leader = record_outcome()
+    recs = X.settle(recs, size_reason=roster_size_reason(F.col("hltv_maps")), fixed=fixed, leader=leader)
+    recs = recs.select("url_key", F.col(order).alias("seq"), "team1", "team2", "fixed", "leader",
+                       eval_reason(F.col("roster_status"), F.col("size_reason")).alias("eval_reason"))
     j = left.join(last_row(recs, ["url_key"], ["seq"]), "url_key", "left")
-    found = F.col("team1").isNotNull()
-    j = X.settle(j, resolved=F.when(found, series_result(j, F.col("team_a"), F.col("team_b"))),
-                 change_reason=F.when(found, participant_change(F.col("team_a"), F.col("team_b"), F.col("team1"), F.col("team2"))))
-    return j.drop("match_info", "hltv_maps", "seq", "url_key", "format")
+    a, b, found = F.col("team_a"), F.col("team_b"), F.col("team1").isNotNull()
+    result = F.coalesce("fixed", F.when(F.col("leader").isNotNull(), to_side(F.col("leader"), a, b)))
+    j = X.settle(j, resolved=F.when(found, result), change_reason=F.when(found, participant_change(a, b, F.col("team1"), F.col("team2"))))
+    return j.drop("seq", "url_key", "fixed", "leader")
 
 
 def is_due(as_of: str) -> Column:
@@ -226,7 +237,7 @@ def is_due(as_of: str) -> Column:
 def settle_pending(matches: DataFrame, snapshots: DataFrame, corpus: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """New versions of the match and snapshot tables after settling due pending rows.
 
-    The corpus is probed by pending rows only; settled rows pass through untouched.
+    Pending rows alone are joined to the corpus; settled rows pass through untouched.
     """
     pending = matches.where((F.col("result") == "Pending") & is_due(as_of))
     done = settle_join(pending.select("match_url", "team_a", "team_b"), corpus).where(F.col("resolved").isNotNull())

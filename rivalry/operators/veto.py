@@ -16,6 +16,7 @@ from rivalry import constants as C
 from rivalry.functions import text as X
 from rivalry.operators.clean import invalid_veto_reason, text_blob
 from rivalry.operators.ordered import counts_before, split_points, with_range
+from rivalry.session import persist_table
 
 FORMATS = ("bo1", "bo3", "bo5")
 
@@ -119,12 +120,28 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salt
     return left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
 
 
+#: Hints up to which their table is broadcast: one short row per event.
+FEW_HINTS = 100_000
+
+
 def resolve_eras(corpus: DataFrame, eras: DataFrame) -> DataFrame:
-    """Adds ``era`` (struct): explicit metadata, veto evidence, event hint, then the date."""
-    df = X.settle(corpus, parsed=parsed_lines(F.col("hltv_vetoes")), day=F.to_date(X.parse_date(F.col("date"))),
-                  event_key=F.lower(X.strip(X.text(F.col("event")))))
-    df = resolve_without_hints(with_registry(df, eras))
-    j = salted_lookup(df, event_hints(df), "event_key", "url")
+    """Adds ``era`` (struct): explicit metadata, veto evidence, event hint, then the date.
+
+    Hints are one narrow row per event. A small table of them is broadcast to the records;
+    beyond ``FEW_HINTS`` only (url, event_key) is shuffled to look a hint up, not the record.
+    """
+    def parsed(df: DataFrame) -> DataFrame:
+        return X.settle(df, parsed=parsed_lines(F.col("hltv_vetoes")), day=F.to_date(X.parse_date(F.col("date"))),
+                        event_key=F.lower(X.strip(X.text(F.col("event")))))
+
+    hints = persist_table(event_hints(resolve_without_hints(with_registry(parsed(corpus), eras))))  # one row per event
+    df = parsed(corpus)
+    if hints.limit(FEW_HINTS + 1).count() <= FEW_HINTS:
+        df = df.join(F.broadcast(hints), "event_key", "left")
+    else:
+        found = salted_lookup(df.select("url", "event_key").distinct(), hints, "event_key", "url").select("url", "event_key", "hint")
+        df = df.join(found, ["url", "event_key"], "left")
+    j = resolve_without_hints(with_registry(df, eras))
     hinted = _first(F.filter("eras", lambda e: F.lower(e["name"]) == F.lower(F.col("hint"))))
     era = F.coalesce(F.col("explicit"), F.col("inferred"), hinted, era_for_date(F.col("day"), F.col("eras")))
     return X.settle(j, era=era).drop("eras", "explicit", "inferred", "hint", "observed")

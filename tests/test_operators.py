@@ -216,3 +216,26 @@ def test_shared_folder_needs_the_setting_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(N(conf=conf, sparkContext=N(master="local-cluster[3,2,1000]")))
     assert shared_root(N(conf=N(get=lambda *a: "hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"
+
+
+def test_settlement_shuffles_short_columns_only(spark):
+    nested = "url string, match_key long, date string, event string, format string, team1 string, team2 string, match_info array<string>, " \
+             "hltv_maps array<struct<map_name: string, team1: string, team1_score: string, team2: string, team2_score: string, player_stats: array<struct<player: string>>>>, " \
+             "player_stats array<map<string,string>>"
+    one = lambda m, a, b: {"map_name": m, "team1": "X", "team1_score": a, "team2": "Y", "team2_score": b, "player_stats": None}
+    rows = [("/matches/1/x", 1, "2024-01-01", "e", "bo3", "X", "Y", ["Best of 3"], [one("m1", "16", "2"), one("m2", "16", "3")], None),
+            ("/matches/2/x", 2, "2024-01-01", "e", "bo1", "X", "Y", ["team forfeit"], None, None)]
+    corpus_ = spark.createDataFrame(rows, nested)
+    ledger = spark.createDataFrame([("/matches/1/x", "Y", "X"), ("/matches/2/x", "X", "Y"), ("/matches/9/x", "X", "Y")], "match_url string, team_a string, team_b string")
+    for few in (100_000, 0):
+        L.FEW_KEYS, old = few, L.FEW_KEYS
+        try:
+            out = L.settle_join(ledger, corpus_)
+            got = {r.match_url: r.resolved for r in out.collect()}
+            plan = out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            L.FEW_KEYS = old
+        assert got == {"/matches/1/x": "team_b", "/matches/2/x": "forfeit", "/matches/9/x": None}
+        for part in plan.split("Exchange hashpartitioning")[1:]:
+            head = part.split("\n")[1]
+            assert "hltv_maps" not in head and "player_stats" not in head
