@@ -501,7 +501,12 @@ def read_table(t):
 def read_eras(t):
     n = t.read("nation").select(F.col("n_name").alias("name"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("n_nationkey")).cast("string").alias("start"), F.lit(None).cast("string").alias("end"),
                                 F.array(F.lit("dust ii"), F.lit("MRG"), F.lit(" X ")).alias("maps"), F.lit(None).cast("array<string>").alias("events"), (F.col("n_nationkey") + 1).alias("era_no"))
-    return RD.clean_eras(n).select("name", "start", F.array_join("maps", ",").alias("maps"), "era_no")
+    # one JSON array in one file, as a registry is kept: a row per nation
+    listed = n.groupBy().agg(F.sort_array(F.collect_list(F.struct("era_no", "name", "start", "end", "maps", "events"))).alias("e"))
+    text = F.to_json(F.transform("e", lambda x: x.dropFields("era_no")))
+    path = shared_folder(t.spark)
+    listed.select(text.alias("value")).coalesce(1).write.text(path)
+    return RD.read_eras(t.spark, path).select("name", "start", F.array_join("maps", ",").alias("maps"), F.col("era_no").cast("int").alias("era_no"))
 
 
 @query("SRC5_read_aliases", "SELECT 'a' || CAST(c_custkey AS VARCHAR) AS alias, c_name AS team FROM customer WHERE c_custkey % 3 = 0")
@@ -509,7 +514,9 @@ def read_aliases(t):
     k = F.col("c_custkey")
     path = F.when(k % 3 == 0, "/Esl/Pro League/").when(k % 3 == 1, "/esl/pro").otherwise("/iem")
     rows = t.read("customer").select(path.alias("event_path"), F.concat(F.lit(" a"), k.cast("string")).alias("alias"), F.col("c_name").alias("team"))
-    return RD.aliases_for_event(rows, "/esl/pro_league/2024").select("alias", "team")
+    folder = shared_folder(t.spark)
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return RD.read_aliases(t.spark, folder, "/esl/pro_league/2024").select("alias", "team")
 
 
 @query("SNK2_write_results_csv", over("scored", body=_RES + " SELECT variant, fold, CAST(seed AS VARCHAR) AS seed FROM rs"))
