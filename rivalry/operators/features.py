@@ -148,7 +148,7 @@ def team_state(history: DataFrame) -> DataFrame:
         "team", "map_name", "date",
         *[rate(f"w_{d}", f"n_{d}").alias(f"form_{d}") for d in C.FORM_DAYS],
         F.col("n_30").cast("long").alias("maps_30"), F.col("n_90").cast("long").alias("maps_90"),
-        rate("map_w_90", "map_n_90").alias("map_form"),
+        rate("map_w_90", "map_n_90").alias("map_form"), F.col("map_n_90").cast("long").alias("map_maps_90"),
         mean("lr_90", "n_90", default_sos).alias("sos_90"), mean("lr_30", "n_30", default_sos).alias("sos_30"),
         mean("win_margin_30", "win_n_30", 0.0).alias("dominance"),
         mean("loss_margin_30", "loss_n_30", 0.0).alias("loss_margin"),

@@ -389,10 +389,11 @@ def profile(t):
     return rounded(Q.team_profile(t.view("maps"), AS_OF))
 
 
-@query("A35_sample_flags", over("maps", body=f"""{SIDES} SELECT d.team, d.map_name, d.date, count(h.match_id) FILTER (h.date >= d.date - 30) < 10 AS low_team_sample FROM (SELECT DISTINCT team, map_name, date FROM sides) d LEFT JOIN sides h ON h.team = d.team AND h.date < d.date AND h.date >= d.date - 90 GROUP BY 1, 2, 3"""))
+@query("A35_sample_flags", over("maps", body=f"""{SIDES} SELECT d.team, d.map_name, d.date, count(h.match_id) FILTER (h.date >= d.date - 30) < 10 AS low_team_sample, count(h.match_id) FILTER (h.map_name = d.map_name) < 3 AS low_map_sample FROM (SELECT DISTINCT team, map_name, date FROM sides) d LEFT JOIN sides h ON h.team = d.team AND h.date < d.date AND h.date >= d.date - 90 GROUP BY 1, 2, 3"""))
 def sample_flags(t):
     s = P.team_state(P.daily_history(t.view("maps")))
-    return s.select("team", "map_name", "date", Q.sample_flags(F.col("maps_30"), F.lit(0))["low_team_sample"].alias("low_team_sample"))
+    flags = Q.sample_flags(F.col("maps_30"), F.col("map_maps_90"))
+    return s.select("team", "map_name", "date", *[v.alias(k) for k, v in flags.items()])
 
 
 _LIST = "(SELECT DISTINCT 'team ' || CAST(s_suppkey % 40 AS VARCHAR) AS team_key FROM supplier WHERE s_acctbal > 0)"
