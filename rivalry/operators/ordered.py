@@ -1,9 +1,9 @@
 """Global order without a global sort: split points, prefix sums, as-of counts.
 
 A window without ``partitionBy`` puts every row in one task. The helpers here use
-two levels instead: a bounded list of split points cuts the order into ranges,
-ranges are summed and offset in a table whose size is the number of split points,
-and only the rows of one range are ordered together. Rows are first grouped on
+two levels instead: the order is cut into ranges whose number follows the row count,
+ranges are summed and offset in a table of one row per range, and only the rows of one
+range are ordered together. Rows are first grouped on
 their order key, so a key that repeats in a third of the data is one row here.
 """
 
@@ -12,38 +12,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from rivalry.session import persist_table
 
+#: Rows that one range holds on average; the number of ranges follows the row count.
+ROWS_PER_RANGE = 100_000
 
-def split_points(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
-    """One row with a sorted array of at most ``ranges`` existing key values.
-
-    Keys are spread over hash slots and the smallest hash of a slot names its
-    representative, so the result is a deterministic draw whose size never
-    depends on the data. It only chooses where ranges are cut; no row is dropped.
-    """
-    h = F.xxhash64(key)
-    slots = df.where(F.col(key).isNotNull()).groupBy(F.pmod(h, F.lit(ranges)).alias("slot"))
-    return slots.agg(F.min_by(key, h).alias("point")).agg(
-        F.sort_array(F.collect_list("point")).alias("points"))
 
+def in_ranges(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Stores ``df`` dealt out by ranges of ``key`` and adds ``range_no``, which grows with the key.
 
-def with_range(df: DataFrame, key: str, points: DataFrame, name: str = "range_no") -> DataFrame:
-    """Adds the number of split points that are <= key (the points row is one row)."""
-    found = F.size(F.filter("points", lambda p: p <= F.col(key)))
-    return df.crossJoin(F.broadcast(points)).withColumn(name, found).drop("points")
+    Spark samples the cut points, and equal keys share a range. The numbers are those of the
+    partitions that were written, so they stay the same whenever the table is read again.
+    """
+    stored = persist_table(df)
+    ranges = max(1, -(-stored.count() // rows_per_range))
+    return persist_table(stored.repartitionByRange(ranges, key).withColumn("range_no", F.spark_partition_id()))
 
 
 def prefix_sums(hist: DataFrame, key: str, sums: list[str], by: list[str] | None = None,
-                ranges: int = RANGES) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds ``<col>_before``: sum of ``col`` over rows with a smaller key in the same group.
 
     ``hist`` must hold one row per (by, key).
     """
     by = by or []
-    ranged = with_range(hist, key, split_points(hist, key, ranges))
+    ranged = in_ranges(hist, key, rows_per_range)
     totals = ranged.groupBy(*by, "range_no").agg(*[F.sum(c).alias(c) for c in sums])
-    # at most `ranges`+1 rows per group
+    # one row per range and group
     ahead = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "range_no",
                             *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_offset") for c in sums])
@@ -72,7 +67,7 @@ def counts_before(events: DataFrame, probes: DataFrame, keys: list[str], sums: l
                   days: int | None, day: str = "date", order: str = "match_id") -> DataFrame:
     """As-of sums per probe over events that come earlier in (day, order) within ``days``.
 
-    Both sides hold ``keys + [day, order, "range_no"]`` (see ``with_range``); one row per
+    Both sides hold ``keys + [day, order, "range_no"]`` (see ``in_ranges``); one row per
     distinct probe comes back. Three parts are added: whole earlier days (one row per
     key and day), earlier ranges of the same day (at most one row per range), and
     earlier ids of the same range. No part orders more than one range of one key's

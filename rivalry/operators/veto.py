@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rivalry import constants as C
 from rivalry.functions import text as X
 from rivalry.operators.clean import invalid_veto_reason, text_blob
-from rivalry.operators.ordered import counts_before, split_points, with_range
+from rivalry.operators.ordered import counts_before, in_ranges
 from rivalry.session import persist_table
 
 FORMATS = ("bo1", "bo3", "bo5")
@@ -232,7 +232,8 @@ def history_probes(matches: DataFrame) -> DataFrame:
 
 def with_history(matches: DataFrame, days: int | None = C.VETO_DAYS) -> DataFrame:
     """Adds ``counts``: history before the match in (date, match_id) order, within ``days`` (same day included)."""
-    ranged = with_range(matches, "match_id", split_points(matches, "match_id", 64))
+    ranged = in_ranges(matches, "match_id")
+    matches = ranged.drop("range_no")
     asof = counts_before(history_events(ranged), history_probes(ranged), ["key"], ["n"], days).where(F.col("n") > 0)
     # at most one entry per probe of the match
     per = asof.groupBy("match_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))

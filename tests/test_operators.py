@@ -24,7 +24,7 @@ from rivalry.sources import sinks as SK
 def test_prefix_sums_with_hot_group(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 else "cold", i, rng.randint(0, 5)) for i in range(900)]
-    out = O.prefix_sums(spark.createDataFrame(rows, "g string, k int, v int"), "k", ["v"], ["g"], ranges=16).collect()
+    out = O.prefix_sums(spark.createDataFrame(rows, "g string, k int, v int"), "k", ["v"], ["g"], rows_per_range=60).collect()
     assert len(out) == 900
     for r in out:
         assert r["v_before"] == sum(v for g, k, v in rows if g == r["g"] and k < r["k"])
@@ -37,8 +37,8 @@ def test_counts_before_matches_brute_force(spark):
     schema = "key string, date date, match_id string, n int"
     e = spark.createDataFrame(ev, schema)
     probes = e.select("key", "date", "match_id").distinct()
-    pts = O.split_points(e, "match_id", 8)
-    out = O.counts_before(O.with_range(e, "match_id", pts), O.with_range(probes, "match_id", pts), ["key"], ["n"], 30).collect()
+    ranged = O.in_ranges(e, "match_id", 40)
+    out = O.counts_before(ranged, ranged.select("key", "date", "match_id", "range_no").distinct(), ["key"], ["n"], 30).collect()
     assert len(out) == probes.count()
     for r in out:
         want = sum(1 for k, d, m, _ in ev if k == r["key"] and d >= r["date"] - dt.timedelta(days=30) and (d < r["date"] or (d == r["date"] and m < r["match_id"])))
@@ -239,3 +239,17 @@ def test_settlement_shuffles_short_columns_only(spark):
         for part in plan.split("Exchange hashpartitioning")[1:]:
             head = part.split("\n")[1]
             assert "hltv_maps" not in head and "player_stats" not in head
+
+
+def test_ranges_follow_the_row_count(spark):
+    from rivalry.operators.ordered import in_ranges, prefix_sums
+
+    keys = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), F.lit(1).cast("long").alias("c"))
+    sizes = [r["count"] for r in in_ranges(keys, "k").groupBy("range_no").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 200_000  # twice the average at most
+    few = spark.createDataFrame([(k, i % 3 + 1) for i, k in enumerate([5, 3, 9, 1, None, 7, 2, 8])], "k long, c long")
+    got = {r.k: r.c_before for r in prefix_sums(few, "k", ["c"], rows_per_range=2).collect()}
+    want, at = {}, 0
+    for k, c in sorted(((r.k, r.c) for r in few.collect()), key=lambda x: (x[0] is not None, x[0] or 0)):
+        want[k], at = at, at + c
+    assert got == want
