@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivalry.llm.bloom import thin_out
 from rivalry.llm.caps import forest
 from rivalry.llm.graph import components
 from rivalry.llm.shingles import mix, shingle_sets
@@ -88,7 +89,7 @@ def prefixes(source: DataFrame, k: int, percent: int, hashes: np.ndarray, levels
     """One row per document: size, digest of its set, group (size and prefix), bitmap, prefix in order."""
     hint = source.sparkSession.sparkContext.broadcast((hashes, levels))
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def row(s: np.ndarray) -> tuple:
         known, level = hint.value
@@ -102,7 +103,7 @@ def prefixes(source: DataFrame, k: int, percent: int, hashes: np.ndarray, levels
         group = hashlib.blake2b(first.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest()
         odd = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
         return (n, int(digest[0]), int(digest[1]), int.from_bytes(group, "little", signed=True),
-                np.packbits(odd.astype(np.uint8)).tobytes(), first.view(np.int64))
+                np.packbits(odd.astype(np.uint8)).view(np.int64), first.view(np.int64))
 
     def run(batches):
         for batch in batches:
@@ -112,7 +113,7 @@ def prefixes(source: DataFrame, k: int, percent: int, hashes: np.ndarray, levels
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
                                                  names=["doc_id", "n", "d1", "d2", "grp", "bits", "prefix"])
 
-    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, grp long, bits binary, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, grp long, bits array<long>, prefix array<long>")
 
 
 def _candidates(percent: int, all_pairs: bool):
@@ -122,7 +123,7 @@ def _candidates(percent: int, all_pairs: bool):
         left, right, inner = key[1].as_py(), key[2].as_py(), key[3].as_py()
         col = {c: np.asarray(table[c]) for c in ("side", "node", "cluster", "grp", "n", "pos")}
         order = np.argsort(col["node"], kind="stable")
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)[order]
+        bits = np.asarray(table["bits"].combine_chunks().flatten()).view(np.uint64).reshape(-1, BITS // 64)[order]
         col = {c: v[order] for c, v in col.items()}
         a = np.flatnonzero(col["side"] == left)
         b = a if left == right else np.flatnonzero(col["side"] == right)
@@ -155,25 +156,41 @@ def _candidates(percent: int, all_pairs: bool):
 def _meet(shared: DataFrame, members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Candidate pairs of nodes. ``members`` holds node, cluster, grp, n, bits.
 
-    Shingles of at most ``FEW`` documents are joined as groups: pairs of groups are filtered
-    and made distinct, then expanded to members. The others are met in blocks.
+    Shingles of at most ``FEW`` documents are joined as groups: pairs of groups are filtered by
+    size, by the place of their first common shingle and by the number of common ones in
+    their prefixes, then expanded to members and filtered by the bitmap bound. The others
+    are met in blocks.
     """
     sized = members.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("m"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
     at = shared.join(sized.drop("n"), "grp").select("shingle", "grp", "n", "pos", "m", "lo", "hi", F.lit(False).alias("inner"))
     own = sized.where("m > 1").select(F.col("grp").alias("shingle"), "grp", "n", F.lit(0).alias("pos"), "m", "lo", "hi", F.lit(True).alias("inner"))
     at = at.unionByName(own)
     crowds = at.groupBy("shingle", "inner").agg(F.sum("m").alias("crowd"), F.min("lo").alias("least"), F.max("hi").alias("most"))
-    at = persist_table(at.join(crowds.where("least <> most").drop("least", "most"), ["shingle", "inner"]))
+    crowds = persist_table(crowds.where("least <> most").drop("least", "most"))
+    at = persist_table(at.join(crowds, ["shingle", "inner"]))
 
     few = at.where(F.col("crowd") <= FEW).select("shingle", "inner", "grp", "n", "pos", "lo", "hi")
     x, y = few.alias("x"), few.alias("y")
-    need = f"CEIL({percent} * (x.n + y.n) / {100 + percent}.0)"
-    close = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n) AND (x.inner OR LEAST(x.n - x.pos, y.n - y.pos) >= {need})"
+    close = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n) AND LEAST(x.lo, y.lo) <> GREATEST(x.hi, y.hi)"
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.inner") == F.col("y.inner")) & F.expr(
-        f"((x.inner AND x.grp = y.grp) OR (NOT x.inner AND x.grp < y.grp)) AND LEAST(x.lo, y.lo) <> GREATEST(x.hi, y.hi) AND {close}"))
-    groups = met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct()
-    side = lambda c: members.select(F.col("grp").alias(f"g{c}"), F.col("node").alias(f"n{c}"), F.col("cluster").alias(f"c{c}"))
-    pairs = groups.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb AND (ga <> gb OR na < nb)").select(
+        f"((x.inner AND x.grp = y.grp) OR (NOT x.inner AND x.grp < y.grp)) AND {close}"))
+    need = F.expr(f"CEIL({percent} * (x.n + y.n) / {100 + percent}.0)").alias("need")
+    first = F.expr(f"x.inner OR LEAST(x.n - x.pos, y.n - y.pos) >= CEIL({percent} * (x.n + y.n) / {100 + percent}.0)")
+    # beyond the prefixes the two sets share at most what the longer rest holds
+    rest = F.expr(f"CEIL({percent} * GREATEST(x.n, y.n) / 100.0) - 1").alias("rest")
+    groups = met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"), F.col("x.inner").alias("inner"), need, rest, first.alias("first"))
+    groups = groups.groupBy("ga", "gb", "inner", "need", "rest").agg(F.count(F.lit(1)).alias("c"), F.max("first").alias("first")).where("first")
+    # common prefix shingles of the crowded kind are not among the joined ones: count them as if all were common
+    hot = persist_table(at.where((F.col("crowd") > FEW) & ~F.col("inner")).groupBy("grp").agg(F.count(F.lit(1)).alias("h")))
+    for g, h in (("ga", "ha"), ("gb", "hb")):
+        groups = groups.join(hot.select(F.col("grp").alias(g), F.col("h").alias(h)), g, "left")
+    seen = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    groups = groups.where(F.col("inner") | (seen + F.col("rest") >= F.col("need"))).select("ga", "gb").distinct()
+    side = lambda c: members.select(F.col("grp").alias(f"g{c}"), F.col("node").alias(f"n{c}"), F.col("cluster").alias(f"c{c}"),
+                                    F.col("n").alias(f"s{c}"), F.col("bits").alias(f"bits_{c}"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    likely = differ <= F.expr(f"sa + sb - 2 * CEIL({percent} * (sa + sb) / {100 + percent}.0)")
+    pairs = groups.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb AND (ga <> gb OR na < nb)").where(likely).select(
         F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
     many = at.where(F.col("crowd") > FEW).select("shingle", "inner", "grp", "pos", "crowd").join(members, "grp")
@@ -189,14 +206,16 @@ def _meet(shared: DataFrame, members: DataFrame, percent: int, all_pairs: bool)
 def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that reach the similarity on their whole sets."""
     pairs = persist_table(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+                        .withColumn("id_hash", F.xxhash64("doc_id")))
 
     def sets(batches):
         for batch in batches:
             out = [s.tobytes() for _, s in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "set"])
 
-    held = persist_table(source.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"))
+    some = thin_out(source.withColumn("id_hash", F.xxhash64("doc_id")), ids, "id_hash").select("doc_id", "text")
+    held = persist_table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"))
 
     def check(batches):
         for batch in batches:
@@ -217,13 +236,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     source = _source(docs, doc_id, text)
     rows = persist_table(prefixes(source, k, percent, *frequent_shingles(source, k)))
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    # grouped tables are stored before they are joined: a join of two plain exchanges can split a hot key
+    classes = persist_table(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     # one document of every class stands for its copies
-    heads = persist_table(usable.join(classes, (usable["d1"] == classes["d1"]) & (usable["d2"] == classes["d2"]) & (usable["doc_id"] == classes["node"]))
-                          .select("node", "grp", "n", "bits", "prefix"))
-    shingles = heads.select("grp", "n", F.posexplode("prefix").alias("pos", "shingle")).distinct()
-    common = shingles.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
-    shared = persist_table(shingles.join(common.select("shingle"), "shingle"))
+    heads = persist_table(usable.select("d1", "d2", "doc_id", "grp", "n", "bits").join(classes, ["d1", "d2"]).where("doc_id = node")
+                          .select("node", "grp", "n", "bits"))
+    shingles = usable.select("grp", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    common = persist_table(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"))
+    shared = persist_table(thin_out(shingles, common, "shingle").join(common, "shingle").distinct())
     members = heads.select("node", F.col("node").alias("cluster"), "grp", "n", "bits")
     links = _verify(source, _meet(shared, members, percent, False), k, percent)
     found = components(links)
