@@ -215,12 +215,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_key"))
     cut = persist_table(cut_segments(source, length, anchor))
-    again = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # grouped tables are stored before they are joined: a join of two plain exchanges can split a hot key
+    again = persist_table(cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     met = persist_table(cut.join(again, "anchor"))
     kinds = met.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "windows", "place")).alias("one"))
     kinds = persist_table(kinds.select("anchor", "content", "copies", "one.*"))
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = persist_table(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     unlike = kinds.join(mixed, "anchor").withColumn("crowded", F.col("kinds") > crowd)
     wanted = unlike.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "start", "windows", "place", "crowded")).alias("wanted"))
     wanted = persist_table(wanted.withColumn("row_key", F.xxhash64("doc_id", "text_key")))
