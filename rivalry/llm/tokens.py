@@ -17,7 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 
 #: Pieces that a worker remembers in each of two generations; bounds memory, never the result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A blank that follows a non-blank: both vocabularies start a new token there.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: A run of letters that no normaliser joins with its neighbours, then nothing or an ASCII sign and the rest.
