@@ -32,7 +32,7 @@ def test_warc_round_trip(spark):
     assert got[5, 1500].record_type == "response" and got[5, 1500].refers_to is None
     for key in (1, 3):
         assert (got[key, 1500].record_type, got[key, 1500].refers_to) == ("revisit", 5)
-    assert got[-(2**63), 1500].record_type == "revisit"
+    assert (got[None, 1500].record_type, got[None, 1500].refers_to) == ("revisit", 5)
     assert {got[k].record_type for k in ((7, 10), (8, 10), (9, 0), (10, 0), (11, 1000))} == {"response"}
     assert got[1, 1500].payload_digest == hashlib.sha1(big.encode()).hexdigest()
     assert warc.read_payloads(spark, path).count() == 4  # big, small, empty, T: each once
@@ -91,7 +91,7 @@ def test_secrets(spark):
     assert out[2] == [("assign", 0, 19), ("assign", 21, 34)]
     assert out[3] == []  # the first match takes the second keyword with it
     assert out[4] == [("access", 20, 40)] and out[5] == [("hex", 2, 34)]
-    assert out[6] == [("random", 4, 35)] and out[7] == [("random", 4, 35)]
+    assert out[6] == out[7] == [("random", 4, 4 + len(key))]
     assert len(out[9]) == 2
     known = secrets.find_secrets(docs(spark, texts), known_digests=(key,)).where("doc_id = 6").first()
     assert list(known.spans) == []
