@@ -41,7 +41,7 @@ from rivalry.session import persist_table
 #: Frequent shingles that are broadcast (16 bytes each).
 HINTS = 1 << 17
 #: Shingles of a task that are counted together, and the count worth reporting.
-COUNTED, REPORTED = 1 << 22, 4
+COUNTED, REPORTED = 1 << 20, 4
 #: Documents of a shingle up to which its pairs are joined, and those that meet in one task beyond it.
 FEW, BLOCK = 32, 1024
 #: Bits of the bitmap that bounds the difference of two sets.
@@ -220,8 +220,8 @@ def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):  # no copies of the sets
+                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
