@@ -1,12 +1,17 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions are a random product code: after a seeded rotation a vector is cut into
+Filter directions are random product codes: after a seeded rotation a vector is cut into
 blocks, each block has its own random codebook, and every combination of one word per block
 is a direction. A vector joins all directions whose cosine exceeds a threshold; they are
 list-decoded from the block scores without scoring all combinations. Vectors that meet in a
 direction (and label) are compared exactly. The threshold follows the number of vectors so
-that a direction holds about ``PER_FILTER`` of them; the number of directions follows from
-the threshold so that a pair at the wanted cosine shares ``SHARED`` of them on average.
+that a direction holds up to ``PER_FILTER`` of them, by the exact share of a spherical cap.
+
+Directions of one code share words, so a close pair misses all of them far more often than
+independent directions would. The miss of one code is therefore measured on random pairs at
+the wanted cosine; as rotations are random it is the same for every such pair, and that many
+independent codes are used that a pair misses all with a probability of at most ``MISS``.
+Labels of at most ``EXACT`` vectors are one direction, and so is what no codes can serve.
 
 Copies of one vector are one class with a weight. A pair is counted only in the smallest
 direction both are in, so counts are summed without writing pairs; directions with many
@@ -31,38 +36,59 @@ from rivalry.llm.graph import components
 from rivalry.session import persist_table
 
 PER_FILTER = 48
-SHARED = 12.0
+#: Directions of one code that hold a vector, on average.
+PER_CODE = 4
+#: Chance that a pair at the wanted cosine shares no direction, and the most codes used for it.
+MISS, CODES = 0.02, 12
+#: A label of so many vectors is compared whole.
+EXACT = 512
+#: Random pairs to measure a code with, and the most words in a codebook.
+PAIRS, WORDS = 1000, 4096
 #: Rows that meet in one task.
 BLOCK = 1024
 SEED = 20240
 
 
-def _tail(t: np.ndarray) -> np.ndarray:
-    from math import erfc
+def cap_limit(dim: int, share: float) -> float:
+    """Cosine that a random unit vector has with a direction with the chance ``share``."""
+    angle = np.linspace(0, np.pi, 100_001)
+    log = (dim - 2) * np.log(np.maximum(np.sin(angle), 1e-300))
+    mass = np.cumsum(np.exp(log - log.max()))
+    return float(np.cos(angle[np.searchsorted(mass, share * mass[-1])]))
+
 
-    return np.array([0.5 * erfc(x / 2**0.5) for x in np.atleast_1d(t)])
+def close_pairs(rng: np.random.Generator, count: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and for each another one at the given cosine."""
+    u, w = rng.standard_normal((2, count, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    return u, cosine * u + max(0.0, 1 - cosine**2) ** 0.5 * w
 
 
 @lru_cache(maxsize=64)
-def parameters(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
-    """(threshold in standard deviations, blocks, words per block) for ``n`` vectors to compare."""
-    share = min(0.05, PER_FILTER / max(n, 1))
-    grid = np.linspace(0, 12, 4801)
-    t = float(grid[np.searchsorted(-_tail(grid), -share)])
-    t = min(t, 0.8 * dim**0.5)
-    x = np.linspace(t, t + 8, 2001)
-    density = np.exp(-x * x / 2 + t * t / 2)
-    other = _tail((t - cosine * x) / max(1e-9, (1 - cosine**2) ** 0.5))
-    together = float((density * other).sum() / density.sum())  # chance that a close vector is in a direction of this one
-    filters = SHARED / (float(_tail(np.array([t]))[0]) * together)
-    blocks = min(dim, 2 if filters <= 256**2 else 3 if filters <= 512**3 else 4)
-    return t, blocks, max(2, int(np.ceil(filters ** (1 / blocks))))
-
-
-@lru_cache(maxsize=8)
-def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+def parameters(n: int, dim: int, cosine: float) -> tuple[float, int, int, int]:
+    """(least cosine with a direction, blocks, words per block, codes) for ``n`` vectors to compare; no codes: one direction for all."""
+    share = PER_FILTER / max(n, 1)
+    while n > EXACT and dim > 1 and share < 0.25:
+        limit, directions = cap_limit(dim, share), PER_CODE / share
+        blocks = 1 if dim < 8 else 2 if dim < 24 or directions <= WORDS**2 else 3
+        words = max(2, int(np.ceil(directions ** (1 / blocks))))
+        if words <= WORDS:
+            u, v = close_pairs(np.random.default_rng([SEED, dim]), PAIRS, dim, min(1.0, max(-1.0, cosine)))
+            pairs = zip(decode(u, limit, blocks, words, 1), decode(v, limit, blocks, words, 1))
+            miss = float(np.mean([not len(np.intersect1d(a, b)) for a, b in pairs]))
+            miss = min(1.0, miss + 2 * (max(miss, 1 / PAIRS) / PAIRS) ** 0.5)  # not below the true one by chance
+            if miss**CODES <= MISS:
+                return limit, blocks, words, max(1, int(np.ceil(np.log(MISS) / np.log(miss))))
+        share *= 2  # wider caps
+    return -1.0, 1, 1, 0
+
+
+@lru_cache(maxsize=16)
+def code(dim: int, blocks: int, words: int, number: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """Rotation, and per block its range and codebook. Small: words x dim numbers."""
-    rng = np.random.default_rng([SEED, dim, blocks, words])
+    rng = np.random.default_rng([SEED, dim, blocks, words, number])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     edges = np.linspace(0, dim, blocks + 1).astype(int)
     books = []
@@ -72,13 +98,21 @@ def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[tuple[int,
     return rotation, books
 
 
-def decode(units: np.ndarray, t: float, blocks: int, words: int) -> list[np.ndarray]:
-    """Per unit vector the sorted ids of all directions with a cosine above the threshold (the best one if there is none)."""
-    dim = units.shape[1]
-    rotation, books = code(dim, blocks, words)
+def decode(units: np.ndarray, limit: float, blocks: int, words: int, codes: int) -> list[np.ndarray]:
+    """Per unit vector the sorted ids of all directions with a cosine of at least ``limit`` (of a code without one the best)."""
+    if not codes:
+        return [np.zeros(1, dtype=np.int64)] * len(units)
+    found: list = []
+    for at in range(0, len(units), BLOCK):  # bounds the scores held
+        part = [_decode(units[at : at + BLOCK], limit, blocks, words, k) for k in range(codes)]
+        found += [np.concatenate(ids) for ids in zip(*part)]
+    return found
+
+
+def _decode(units: np.ndarray, limit: float, blocks: int, words: int, number: int) -> list[np.ndarray]:
+    rotation, books = code(units.shape[1], blocks, words, number)
     turned = units @ rotation
     scores = [turned[:, a:b] @ book.T for a, b, book in books]
-    limit = t / dim**0.5
     rest = np.zeros((len(books) + 1, len(units)))  # the most that the blocks from i on can add
     for i in range(len(books) - 1, -1, -1):
         rest[i] = rest[i + 1] + scores[i].max(axis=1)
@@ -86,15 +120,16 @@ def decode(units: np.ndarray, t: float, blocks: int, words: int) -> list[np.ndar
     for r in range(len(units)):
         ids, sums = np.zeros(1, dtype=np.int64), np.zeros(1)
         for i, s in enumerate(scores):
-            total = sums[:, None] + s[r][None, :]
+            first = np.flatnonzero(sums + rest[i, r] >= limit)  # others cannot reach it with any word
+            total = sums[first, None] + s[r][None, :]
             x, y = np.nonzero(total + rest[i + 1, r] >= limit)
-            ids, sums = ids[x] * words + y, total[x, y]
+            ids, sums = ids[first[x]] * words + y, total[x, y]
         if not len(ids):
             best = 0
             for s in scores:
                 best = best * words + int(s[r].argmax())
             ids = np.array([best], dtype=np.int64)
-        found.append(np.sort(ids))
+        found.append(np.sort(ids) + number * words**blocks)
     return found
 
 
@@ -102,8 +137,15 @@ def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def assign_filters(classes: DataFrame, cosine: float) -> DataFrame:
-    """(label, dim, node, weight, vector, filters): one row per class of equal vectors; needs ``n`` = rows to compare with."""
+def assign_filters(classes: DataFrame, sizes: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, node, weight, vector, filters): one row per class of equal vectors; ``sizes`` has ``n`` = rows to compare with.
+
+    Sizes count as the next power of two. All workers must use the same codes, so they are chosen here.
+    """
+    sizes = sizes.withColumn("n", F.expr("shiftleft(1L, length(bin(n - 1)))"))
+    kinds = sizes.select("dim", "n").distinct().collect()  # at most 64 rows per dimension
+    chosen = {(r["dim"], r["n"]): parameters(r["n"], r["dim"], cosine) for r in kinds}
+    rows = classes.join(sizes, ["label", "dim"]).select("label", "dim", "node", "class_id", "weight", "vector", "n")
 
     def run(batches):
         for batch in batches:
@@ -115,13 +157,13 @@ def assign_filters(classes: DataFrame, cosine: float) -> DataFrame:
                 x = np.array([vectors[i] for i in at], dtype=np.float64)
                 units = x / np.abs(x).max(axis=1, keepdims=True)
                 units /= np.linalg.norm(units, axis=1, keepdims=True)
-                for i, f in zip(at, decode(units, *parameters(n, dim, cosine))):
+                for i, f in zip(at, decode(units, *chosen[dim, n])):
                     filters[i] = f
             out = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "n"]
             names = [c for c in batch.schema.names if c != "n"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(filters, pa.list_(pa.int64()))], names=[*names, "filters"])
 
-    return classes.mapInArrow(run, "label long, dim int, node long, class_id long, weight long, vector array<double>, filters array<long>")
+    return rows.mapInArrow(run, "label long, dim int, node long, class_id long, weight long, vector array<double>, filters array<long>")
 
 
 def _compare(cosine: float):
@@ -199,8 +241,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec
     classes = persist_table(classes.select("label", F.size("vector").alias("dim"), "node",
                                            F.xxhash64("label", "vector", F.lit(1)).alias("class_id"), "weight", "vector"))
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    spread = persist_table(assign_filters(classes.join(sizes, ["label", "dim"]).select(
-        "label", "dim", "node", "class_id", "weight", "vector", "n"), cosine))
+    spread = persist_table(assign_filters(classes, sizes, cosine))
     cell = ["label", "dim", "filter"]
     narrow = spread.select("label", "dim", F.explode("filters").alias("filter"))
     crowds = narrow.groupBy(*cell).agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")

@@ -79,6 +79,23 @@ def test_embeddings(spark, monkeypatch):
     assert caps.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n,dim,cosine", [(500, 64, 0.93), (3000, 64, 0.93), (20_000, 64, 0.93), (100_000, 64, 0.93), (300_000, 64, 0.95), (1_000_000, 64, 0.93),
+                                          (10_000_000, 64, 0.93), (120_000_000, 64, 0.93), (100_000, 3, 0.93), (100_000, 300, 0.93)])
+def test_borderline_pairs_share_a_direction(n, dim, cosine):
+    u, v = caps.close_pairs(np.random.default_rng(5), 300, dim, cosine)
+    chosen = caps.parameters(n, dim, cosine)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(u, *chosen), caps.decode(v, *chosen))]
+    assert np.mean(met) >= 0.955  # 0.98 less three deviations of 300 pairs
+
+
+def test_borderline_embeddings_in_a_large_label(spark):
+    u, v = caps.close_pairs(np.random.default_rng(6), 3000, 64, 0.9301)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([u, v]))]
+    out = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    assert sum(r.n_links for r in out) >= 0.97 * 6000
+    assert sum(r.component_id == r.vec_id - 3000 for r in out if r.vec_id >= 3000) >= 0.97 * 3000
+
+
 def words_of(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
 
