@@ -281,6 +281,18 @@ def sample_depth_features(df: DataFrame) -> DataFrame:
         F.log1p(low.cast("double")).alias("log_min_gen_matches_30d"))
 
 
+def variant_frame(maps: DataFrame) -> DataFrame:
+    """The features with every column that a named column set of the experiments asks for."""
+    from rivalry.operators import ranks as R
+
+    keys = ["match_id", "map_name", "date", "team_a_id", "team_b_id"]
+    sources = [f"team_{side}_{source}_rank{end}" for side in "ab" for source in R.SOURCES for end in ("", "_missing")]
+    f = R.rank_strategy_features(R.rank_enrich(compute_features(maps), maps.select(*keys, *sources), keys)).drop(*sources)
+    for days in (14, 90):
+        f = join_head_to_head(f, head_to_head(maps, days), days)
+    return sample_depth_features(f)
+
+
 def latest_rank(maps: DataFrame, default: int = C.UNRANKED) -> DataFrame:
     """Last known rank per team; the default only when no rank was ever seen."""
     def view(side: str) -> Column:

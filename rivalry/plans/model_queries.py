@@ -728,10 +728,9 @@ def winner_series(t):
 
 @query("E6_experiment_run")
 def experiment(t):
-    f = persist_table(P.min_history_filter(P.compute_features(t.view("maps"))))
-    folded = E.with_folds(f, E.fold_specs(f, 2, 120))
-    v = E.feature_variants()
-    r = ML.experiment_run(folded, {k: v[k] for k in ("baseline_all", "no_h2h")}, (0,), ["date", "match_id", "map_pos"], SHRINKS, max_iter=20)
+    f = persist_table(P.min_history_filter(P.variant_frame(t.view("maps"))))
+    folded = E.with_folds(f, E.fold_specs(f))
+    r = ML.experiment_run(folded, E.feature_variants(), (1, 2, 3, 4, 5), ["date", "match_id", "map_pos"], SHRINKS)
     return rounded(r, 4)
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivalry.operators import features as X
+from rivalry.operators import models as ML
 from rivalry.operators import ranks as R
+from rivalry.operators import splits as E
 
 D0 = dt.date(2026, 1, 1)
 SCHEMA = ("match_id string, map_pos int, map_name string, date date, team_a_id string, team_b_id string, score_a int, score_b int, winner_id string, "
@@ -144,3 +146,31 @@ def test_h2h_window(spark):
     maps = spark.createDataFrame(rows, SCHEMA)
     out = X.join_head_to_head(maps, X.head_to_head(maps, 14), 14).orderBy("date").collect()
     assert [(r["h2h_a_wins_14d"], r["h2h_b_wins_14d"]) for r in out] == [(0, 0), (1, 0), (0, 1)]
+
+
+def test_variant_frame_has_the_columns_of_every_set(spark):
+    df = spark.createDataFrame(GOLDEN, SCHEMA)
+    for side in "ab":
+        df = df.withColumn(f"team_{side}_vrs_rank", F.col(f"team_{side}_world_rank") * 2)
+        for source in ("world", "vrs"):
+            df = df.withColumn(f"team_{side}_{source}_rank_missing", F.lit(False))
+    f = X.variant_frame(df)
+    assert not {c for cols in E.feature_variants().values() for c in cols} - set(f.columns)
+    rows = {(r["match_id"], r["map_name"]): r for r in f.collect()}
+    r = rows["later", "mirage"]
+    assert len(rows) == len(GOLDEN) and (r["h2h_a_wins_14d"], r["h2h_b_wins_90d"]) == (2, 1)
+    assert r["rank_vrs_only_default_500_diff"] == pytest.approx(math.log(40 / 10))
+    assert r["log_min_gen_matches_30d"] == pytest.approx(math.log1p(3))
+
+
+def test_experiment_runs_differ_by_seed(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        x, z = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((i, D0 + dt.timedelta(days=i // 4), x, z, int(x * z + rng.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(rows, "match_id int, date date, x_diff double, z_diff double, label int")
+    folded = E.with_folds(df, E.fold_specs(df, 1, 20))
+    out = ML.experiment_run(folded, {"both": ["x_diff", "z_diff"]}, (1, 2), ["date", "match_id"], [0.9, 1.0], max_iter=10).collect()
+    assert sorted((r["variant"], r["fold"], r["seed"]) for r in out) == [("both", "fold_1", 1), ("both", "fold_1", 2)]
+    assert out[0]["log_loss"] != out[1]["log_loss"]
