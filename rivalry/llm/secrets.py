@@ -3,7 +3,9 @@
 A vocabulary packs words and identifiers into few tokens, but a random string needs about
 one token for one or two characters. Long runs of token-like characters whose characters
 per token are low are reported, after digests (by length or from a given list), UUIDs and
-identifiers were excluded. All positions are code points, ends exclusive.
+identifiers were excluded. What a fixed pattern leaves of a run is tested on its own, and a run
+that is not random as a whole is tested part by part between its signs, as a name in front of
+a key dilutes the ratio. All positions are code points, ends exclusive.
 
 Defined cases: a null text is empty; empty texts and tables have no spans; null or repeated
 ids are separate rows; other columns are ignored.
@@ -32,6 +34,10 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"[_=/+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_=/+-]+(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})|[A-Z][a-z]{2,})*[_=/+-]*")
 #: Characters per token below which a run counts as random.
 RATIO = 2.0
+#: The same for letters of both cases without a digit, and the least length of a part.
+CLEAR, LEAST = 1.75, 20
+#: Signs at which a run is cut, outermost first.
+SIGNS = "=/_-"
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -60,19 +66,42 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _excluded(run: str, known: frozenset[str]) -> bool:
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run)) or run.lower() in known
+
+
+def _random(run: str, enc, ratio: float) -> bool:
+    if any(c.isdigit() for c in run):
+        most = ratio if any(c.isalpha() for c in run) else 0.0
+    else:
+        most = min(ratio, CLEAR) if any(c.islower() for c in run) and any(c.isupper() for c in run) else 0.0
+    return most > 0 and len(run) < most * len(enc.encode_ordinary(run))
+
+
+def _parts(run: str, at: int, enc, ratio: float, known: frozenset[str]):
+    """Spans of a run, or of its parts if it is not random as a whole."""
+    if len(run) < LEAST or _excluded(run, known):
+        return
+    if _random(run, enc, ratio):
+        yield at, 3, at + len(run)
+        return
+    sign = next((c for c in SIGNS if c in run), None)
+    for part in run.split(sign) if sign else ():
+        yield from _parts(part, at, enc, ratio, known)
+        at += len(part) + 1
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], enc, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Runs that need many tokens for their length and do not overlap a fixed pattern."""
+    """Runs and parts of runs that need many tokens for their length, outside the fixed patterns."""
     found = []
     for m in RUN.finditer(text):
-        run, a, b = m[0], m.start(), m.end()
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run) or run.lower() in known:
+        at, end = m.start(), m.end()
+        cuts = sorted((s, e) for s, _, e in base if s < end and at < e)
+        if cuts and _excluded(m[0], known):
             continue
-        if len(run) < ratio * len(enc.encode_ordinary(run)):
-            found.append((a, 3, b))
+        for s, e in [*cuts, (end, end)]:
+            found += _parts(text[at:s], at, enc, ratio, known)
+            at = max(at, e)
     return found
 
 
