@@ -128,7 +128,7 @@ def resolve_eras(corpus: DataFrame, eras: DataFrame) -> DataFrame:
     """Adds ``era`` (struct): explicit metadata, veto evidence, event hint, then the date.
 
     Hints are one narrow row per event. A small table of them is broadcast to the records;
-    beyond ``FEW_HINTS`` only (url, event_key) is shuffled to look a hint up, not the record.
+    beyond ``FEW_HINTS`` only (url, event_key) with null as an empty url is shuffled to look a hint up, not the record.
     """
     def parsed(df: DataFrame) -> DataFrame:
         return X.settle(df, parsed=parsed_lines(F.col("hltv_vetoes")), day=F.to_date(X.parse_date(F.col("date"))),
@@ -139,8 +139,9 @@ def resolve_eras(corpus: DataFrame, eras: DataFrame) -> DataFrame:
     if hints.limit(FEW_HINTS + 1).count() <= FEW_HINTS:
         df = df.join(F.broadcast(hints), "event_key", "left")
     else:
-        found = salted_lookup(df.select("url", "event_key").distinct(), hints, "event_key", "url").select("url", "event_key", "hint")
-        df = df.join(found, ["url", "event_key"], "left")
+        df = df.withColumn("url_key", F.coalesce("url", F.lit("")))  # a null url would find nothing
+        found = salted_lookup(df.select("url_key", "event_key").distinct(), hints, "event_key", "url_key").select("url_key", "event_key", "hint")
+        df = df.join(found, ["url_key", "event_key"], "left").drop("url_key")
     j = resolve_without_hints(with_registry(df, eras))
     hinted = _first(F.filter("eras", lambda e: F.lower(e["name"]) == F.lower(F.col("hint"))))
     era = F.coalesce(F.col("explicit"), F.col("inferred"), hinted, era_for_date(F.col("day"), F.col("eras")))

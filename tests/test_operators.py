@@ -253,3 +253,19 @@ def test_ranges_follow_the_row_count(spark):
     for k, c in sorted(((r.k, r.c) for r in few.collect()), key=lambda x: (x[0] is not None, x[0] or 0)):
         want[k], at = at, at + c
     assert got == want
+
+
+def test_hints_reach_records_without_url(spark, monkeypatch):
+    eras = spark.createDataFrame([(1, "old", None, dt.date(2020, 1, 1), ["Nuke", "Train"], []), (2, "new", dt.date(2020, 1, 1), None, ["Mirage", "Ancient"], [])],
+                                 "era_no int, name string, start date, end date, maps array<string>, events array<string>")
+    rows = [("u1", "Cup", "2021-05-01", "old"), (None, "Cup", "2021-05-02", None), ("", "Cup", "2021-05-02", None), ("u2", "Cup", "2021-05-03", None),
+            (None, "Other", "2021-05-02", None), (None, None, "2019-05-02", None)]
+    df = spark.createDataFrame([(*r, []) for r in rows], "url string, event string, date string, map_pool_era string, hltv_vetoes array<string>")
+
+    def found():
+        return sorted(((r["url"], r["event"], r["e"]) for r in V.resolve_eras(df, eras).select("url", "event", F.col("era.name").alias("e")).collect()), key=repr)
+
+    few = found()
+    monkeypatch.setattr(V, "FEW_HINTS", 0)
+    assert found() == few and len(few) == len(rows)
+    assert [r for r in few if r[:2] == (None, "Cup")] == [(None, "Cup", "old")]
