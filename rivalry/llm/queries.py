@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import caps, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
+from rivalry.llm import caps, fingerprints, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -116,3 +116,39 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(table(spark, sf_dir, "documents"))
     return language.identify(table(spark, sf_dir, "pages"), model)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT a.r, b.r AS s, substr(a.t, 1, length(a.t) - length(a.t) // 2) || substr(b.t, 1, length(a.t) // 2) AS t
+      FROM d a JOIN d b ON b.r = a.r % (SELECT count(*) FROM d) + 1),
+x AS (SELECT r, 0 AS k, t FROM d UNION ALL SELECT r, 1, t FROM e),
+p AS (SELECT r, k, unnest(string_split(t, chr(10))) AS p FROM x),
+g AS (SELECT r, k, p, count(*)::BIGINT AS c FROM p GROUP BY ALL),
+h AS (SELECT r, k, c, i, sha256(i::VARCHAR || ':' || p) AS h FROM g, range(4) AS t(i)),
+q AS (SELECT r, k, 8 * i + j AS lane, sum(c * ('0x' || substr(h, (8 * j + 1)::INT, 8))::BIGINT) AS v FROM h, range(8) AS t(j) GROUP BY ALL),
+w AS (SELECT r, k, c, list_transform(regexp_extract_all(p, '[^\x20\x09-\x0D]+'), lambda z: ('0x' || substr(md5(z), 1, 8))::BIGINT) AS w FROM g),
+n AS (SELECT r, k, c, unnest(CASE WHEN len(w) < 5
+          THEN [w[1] + 31 * coalesce(w[2], 0) + 961 * coalesce(w[3], 0) + 29791 * coalesce(w[4], 0)]
+          ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] + 31 * w[i + 1] + 961 * w[i + 2] + 29791 * w[i + 3] + 923521 * w[i + 4]) END)
+        % 4294967296 AS z FROM w WHERE len(w) > 0),
+l AS (SELECT r, k, z // 16777216 AS lane, sum(CASE WHEN z // 8388608 % 2 = 1 THEN -c ELSE c END) AS v FROM n GROUP BY ALL),
+b AS (SELECT r, k, lane, v FROM q UNION ALL SELECT r, k, 32 + lane, v FROM l),
+f AS (SELECT x.r, x.k, string_agg(printf('%08x', ((coalesce(v, 0) % 4294967296 + 4294967296) % 4294967296)::BIGINT), '' ORDER BY i) AS f
+      FROM x CROSS JOIN range(288) AS t(i) LEFT JOIN b ON b.r = x.r AND b.k = x.k AND b.lane = i GROUP BY ALL),
+o AS (SELECT r, k, sum(v * v) AS o FROM l GROUP BY ALL),
+y AS (SELECT e.r, 1 AS k, e.r AS s FROM e UNION ALL SELECT e.r, 0, e.s FROM e),
+i AS (SELECT y.r, y.k, sum(a.v * b.v) AS i FROM y JOIN l a ON a.r = y.r AND a.k = 0 JOIN l b ON b.r = y.s AND b.k = y.k AND b.lane = a.lane GROUP BY ALL),
+m AS (SELECT y.r, y.k, CASE WHEN a.f = b.f THEN 1.0::DOUBLE WHEN coalesce(oa.o, 0) + coalesce(ob.o, 0) = 0 THEN 0.0::DOUBLE
+             ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2.0::DOUBLE * coalesce(i.i, 0)::DOUBLE / (coalesce(oa.o, 0) + coalesce(ob.o, 0))::DOUBLE)) END AS m
+      FROM y JOIN f a ON a.r = y.r AND a.k = 0 JOIN f b ON b.r = y.s AND b.k = y.k LEFT JOIN o oa ON oa.r = y.r AND oa.k = 0
+      LEFT JOIN o ob ON ob.r = y.s AND ob.k = y.k LEFT JOIN i ON i.r = y.r AND i.k = y.k)
+SELECT d.doc_id, length(d.t)::BIGINT AS n_chars, sha256(e.t) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+       u.m AS near_edited, v.m AS near_next
+FROM d JOIN e ON e.r = d.r JOIN f a ON a.r = d.r AND a.k = 0 JOIN f b ON b.r = d.r AND b.k = 1
+JOIN m u ON u.r = d.r AND u.k = 1 JOIN m v ON v.r = d.r AND v.k = 0"""
+
+
+@query("op12_document_fingerprints", OP12_SQL)
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.half_edits(table(spark, sf_dir, "documents"))

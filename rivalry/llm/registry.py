@@ -1,4 +1,4 @@
-"""The queries ``op1_`` to ``op10_`` and ``pipeline`` with their SQL checks."""
+"""The queries ``op1_`` to ``op13_`` and ``pipeline`` with their SQL checks."""
 
 from __future__ import annotations
 
