@@ -51,8 +51,9 @@ KINDS = {"int": "int", "bigint": "bigint", "double": "double", "string": "string
 
 
 def compare(spark, con, name: str, folder: str) -> str | None:
-    from rivalry.plans.registry import ORACLES, QUERIES
+    import __spark_entry__
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     df = QUERIES[name](spark, folder)
     left_cols = sorted(df.columns)
     rows = df.select(*left_cols).collect()
@@ -78,10 +79,10 @@ def compare(spark, con, name: str, folder: str) -> str | None:
 
 
 def main() -> int:
-    import __spark_entry__  # noqa: F401  (registers every query)
-    from rivalry.plans.registry import ORACLES, QUERIES
+    import __spark_entry__
     from rivalry.session import local_session
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     folder = os.environ.get("CHECK_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     names = [n for n in QUERIES if not wanted or any(n == w or n.startswith(w) for w in wanted)]
