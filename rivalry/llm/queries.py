@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import caps, fingerprints, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
+from rivalry.llm import caps, conversations, fingerprints, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -152,3 +152,8 @@ JOIN m u ON u.r = d.r AND u.k = 1 JOIN m v ON v.r = d.r AND v.k = 0"""
 @query("op12_document_fingerprints", OP12_SQL)
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.half_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
