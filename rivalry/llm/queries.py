@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import caps, conversations, fingerprints, jaccard, language, mixing, orc_tokens, packing, quality, repeats, secrets, warc
+from rivalry.llm import (
+    caps, conversations, fingerprints, jaccard, language, mixing, negatives, orc_tokens, packing, quality, repeats, secrets, warc,
+)
 from rivalry.llm.registry import query, table
 from rivalry.session import shared_folder
 
@@ -157,3 +159,26 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum(list_transform(a.v, lambda x, i: x * b.v[i]))::BIGINT AS s
+      FROM a, r b WHERE b.vec_id IS DISTINCT FROM a.vec_id OR a.label <> b.label),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INT AS rank, n.b AS negative_id,
+       p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND n.s <= p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 5"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.hard_negatives(rows.where(finite).select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector")), F.col("id") % 100 == 0)
