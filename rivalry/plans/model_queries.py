@@ -726,14 +726,6 @@ def winner_series(t):
     return rounded(S.known_map_series(scored.select("match_id", "match_format", "starter", "map_pos", "p")), 4)
 
 
-@query("E6_experiment_run")
-def experiment(t):
-    f = persist_table(P.min_history_filter(P.variant_frame(t.view("maps"))))
-    folded = E.with_folds(f, E.fold_specs(f))
-    r = ML.experiment_run(folded, E.feature_variants(), (1, 2, 3, 4, 5), ["date", "match_id", "map_pos"], SHRINKS)
-    return rounded(r, 4)
-
-
 @query("E10_backtest")
 def backtest(t):
     train, _, test = winner_splits(t)

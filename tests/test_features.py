@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rivalry.operators import experiments as EX
 from rivalry.operators import features as X
-from rivalry.operators import models as ML
 from rivalry.operators import ranks as R
 from rivalry.operators import splits as E
 
@@ -171,6 +171,6 @@ def test_experiment_runs_differ_by_seed(spark):
         rows.append((i, D0 + dt.timedelta(days=i // 4), x, z, int(x * z + rng.gauss(0, 1) > 0)))
     df = spark.createDataFrame(rows, "match_id int, date date, x_diff double, z_diff double, label int")
     folded = E.with_folds(df, E.fold_specs(df, 1, 20))
-    out = ML.experiment_run(folded, {"both": ["x_diff", "z_diff"]}, (1, 2), ["date", "match_id"], [0.9, 1.0], max_iter=10).collect()
+    out = EX.experiment_run(folded, {"both": ["x_diff", "z_diff"]}, (1, 2), ["date", "match_id"], [0.9, 1.0], max_iter=10).collect()
     assert sorted((r["variant"], r["fold"], r["seed"]) for r in out) == [("both", "fold_1", 1), ("both", "fold_1", 2)]
     assert out[0]["log_loss"] != out[1]["log_loss"]
