@@ -13,9 +13,10 @@ whose documents are still in different components. Both filters are bounds, so n
 between different components is lost, whatever the order of the shingles. Shingles shared
 by many documents are cut into blocks that meet pairwise.
 
-The order needs frequencies only as a hint: shingles repeated in a window of a task's texts
-are summed over all tasks, and the ``HINTS`` most frequent are broadcast. Any hint gives the
-same result.
+The order decides how many unrelated documents meet. A leading share of the shingles, chosen
+by hash and ``LEADING`` times as large as a prefix, is counted exactly and ordered by
+frequency; all others follow by hash and are needed by short documents only. So prefixes
+consist of the rarest shingles, and those of one document alone meet nobody.
 
 Defined cases: texts without words (null, empty, blank) have size 0 and link with nothing;
 shorter texts than a shingle have their word sequence as the only shingle; copies are one
@@ -38,10 +39,8 @@ from rivalry.llm.graph import components
 from rivalry.llm.shingles import mix, shingle_sets
 from rivalry.session import persist_table
 
-#: Frequent shingles that are broadcast (16 bytes each).
-HINTS = 1 << 17
-#: Shingles of a task that are counted together, and the count worth reporting.
-COUNTED, REPORTED = 1 << 20, 4
+#: Shingles that are counted, as a multiple of a prefix.
+LEADING = 2
 #: Documents of a shingle up to which its pairs are joined, and those that meet in one task beyond it.
 FEW, BLOCK = 32, 1024
 #: Bits of the bitmap that bounds the difference of two sets.
@@ -52,58 +51,20 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def frequent_shingles(source: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, levels) of at most ``HINTS`` shingles; a level is the logarithm of the frequency."""
-
-    def count(batches):
-        def report(parts):
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            often = n >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
-
-        held, size = [], 0
-        for batch in batches:
-            for _, s in shingle_sets(batch.column(0), k):
-                held.append(s)
-                size += len(s)
-                if size >= COUNTED:
-                    yield report(held)
-                    held, size = [], 0
-        if held:
-            yield report(held)
-
-    found = source.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = persist_table(found.withColumn("level", F.floor(F.log2("n")).cast("int")))
-    levels = {r["level"]: r["c"] for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 64 rows
-    least, total = 64, 0
-    while least > 0 and total + levels.get(least - 1, 0) <= HINTS:
-        least -= 1
-        total += levels.get(least, 0)
-    rows = found.where(F.col("level") >= least).select("shingle", "level").toArrow()  # at most HINTS rows
-    hashes = np.asarray(rows["shingle"], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.asarray(rows["level"], dtype=np.uint8)[order]
-
-
-def prefixes(source: DataFrame, k: int, percent: int, hashes: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """One row per document: size, digest of its set, group (size and prefix), bitmap, prefix in order."""
-    hint = source.sparkSession.sparkContext.broadcast((hashes, levels))
-
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def measured(source: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per document: size, digest of its set, bitmap, its shingles of the leading share, and what a prefix needs of the others."""
+    share = min(1 << 16, (100 - percent) * LEADING * (1 << 16) // 100 + 1)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
 
     def row(s: np.ndarray) -> tuple:
-        known, level = hint.value
-        n = len(s)
+        n, mixed = len(s), mix(s)
         digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
-        rank = np.zeros(n, dtype=np.uint8)
-        if n and len(known):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            rank = np.where(known[at] == s, level[at], 0)
-        first = s[np.argsort(rank, kind="stable")[: n - (percent * n + 99) // 100 + 1]] if n else s
-        group = hashlib.blake2b(first.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest()
-        odd = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
-        return (n, int(digest[0]), int(digest[1]), int.from_bytes(group, "little", signed=True),
-                np.packbits(odd.astype(np.uint8)).view(np.int64), first.view(np.int64))
+        leads = (mixed & np.uint64(0xFFFF)) < share
+        wanted = n - (percent * n + 99) // 100 + 1 if n else 0
+        odd = np.bincount((mixed >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+        chosen = s[leads]
+        return (n, int(digest[0]), int(digest[1]), np.packbits(odd.astype(np.uint8)).view(np.int64), chosen.view(np.int64),
+                s[~leads][: max(0, wanted - len(chosen))].view(np.int64))
 
     def run(batches):
         for batch in batches:
@@ -111,9 +72,32 @@ def prefixes(source: DataFrame, k: int, percent: int, hashes: np.ndarray, levels
                 part = batch.slice(at, 512)
                 columns = zip(*[row(s) for _, s in shingle_sets(part.column(1), k)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
-                                                 names=["doc_id", "n", "d1", "d2", "grp", "bits", "prefix"])
+                                                 names=["doc_id", "n", "d1", "d2", "bits", "chosen", "rest"])
+
+    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits array<long>, chosen array<long>, rest array<long>")
 
-    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, grp long, bits array<long>, prefix array<long>")
+
+def prefixes(heads: DataFrame, percent: int) -> DataFrame:
+    """(node, grp, n, bits, found): group and the prefix shingles that other documents may have, with their places.
+
+    The order of all shingles: the leading share by exact frequency, then the others by hash.
+    A shingle of one document alone stands before all others and meets nobody, so only how
+    many of them there are matters.
+    """
+    each = heads.select("head", F.explode("chosen").alias("shingle"))
+    # stored, so that the join can split a frequent shingle
+    common = persist_table(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    held = each.join(common, "shingle").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("many"))
+    parts = heads.select("node", "head", "n", "bits", "rest", F.size("chosen").alias("s")).join(held, "head", "left")
+    many = F.coalesce("many", F.array().cast("array<struct<c: bigint, shingle: bigint>>"))
+    wanted = F.expr(f"n - CEIL({percent} * n / 100.0) + 1")
+    parts = parts.select("node", "n", "bits", "rest", "s", "head", many.alias("many"), (F.col("s") - F.size(many)).alias("alone"), wanted.cast("int").alias("wanted"))
+    taken = F.transform(F.slice("many", F.lit(1), F.greatest(F.lit(0), F.col("wanted") - F.col("alone"))),
+                        lambda x, i: F.struct(x["shingle"].alias("shingle"), (F.col("alone") + i).alias("pos")))
+    later = F.transform("rest", lambda x, i: F.struct(x.alias("shingle"), (F.col("s") + i).alias("pos")))
+    parts = parts.select("node", "head", "n", "bits", "alone", F.concat(taken, later).alias("found"))
+    group = F.when(F.col("alone") > 0, F.xxhash64(F.lit("one"), "head")).otherwise(F.xxhash64("n", F.transform("found", lambda x: x["shingle"])))
+    return persist_table(parts.where(F.size("found") > 0).select("node", group.alias("grp"), "n", "bits", "found"))
 
 
 def _candidates(percent: int, all_pairs: bool):
@@ -234,20 +218,19 @@ def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     source = _source(docs, doc_id, text)
-    rows = persist_table(prefixes(source, k, percent, *frequent_shingles(source, k)))
+    rows = persist_table(measured(source, k, percent))
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     # grouped tables are stored before they are joined: a join of two plain exchanges can split a hot key
     classes = persist_table(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     # one document of every class stands for its copies
-    heads = persist_table(usable.select("d1", "d2", "doc_id", "grp", "n", "bits").join(classes, ["d1", "d2"]).where("doc_id = node")
-                          .select("node", "grp", "n", "bits"))
-    shingles = usable.select("grp", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    common = persist_table(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"))
-    shared = persist_table(thin_out(shingles, common, "shingle").join(common, "shingle").distinct())
-    members = heads.select("node", F.col("node").alias("cluster"), "grp", "n", "bits")
+    heads = persist_table(usable.join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])
+                          .select("node", F.col("d1").alias("head"), "n", "bits", "chosen", "rest"))
+    placed = prefixes(heads, percent)
+    shared = placed.select("grp", "n", F.inline("found")).select("shingle", "grp", "n", "pos").distinct()
+    members = placed.select("node", F.col("node").alias("cluster"), "grp", "n", "bits")
     links = _verify(source, _meet(shared, members, percent, False), k, percent)
     found = components(links)
-    named = heads.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "grp", "n", "bits")
+    named = placed.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "grp", "n", "bits")
     more = _verify(source, _meet(shared, named, percent, True), k, percent)
     copies = usable.join(classes, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     final = components(links.unionByName(more).unionByName(copies))
