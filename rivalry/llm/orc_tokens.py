@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivalry.llm.tokens import encoder, texts
+from rivalry.llm.tokens import encoder, together
 from rivalry.session import persist_table
 
 #: Text bytes of one file.
@@ -33,12 +33,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
     def run(batches):
         enc = encoder(vocabulary, keeps_blanks)
         for batch in batches:
-            for at, part in texts(batch.column(1)):
-                rows = [enc.encode(t, end_id) for t in part]
-                offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.cumsum([len(r) for r in rows], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], names=["doc_id", "ids"])
+            for part in together(batch, 1):
+                offsets, ids = enc.encode_all(part.column(1), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>")

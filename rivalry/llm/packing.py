@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivalry.llm.tokens import encoder, texts
+from rivalry.llm.tokens import encoder, together
 from rivalry.session import persist_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,10 +36,11 @@ def cut_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte
     def run(batches):
         enc = encoder(vocabulary, keeps_blanks)
         for batch in batches:
-            for at, part in texts(batch.column(1)):
+            for part in together(batch, 1):
                 out = [[] for _ in range(6)]
-                for key, t in zip(batch.column(0).slice(at, len(part)).to_pylist(), part):
-                    ids = enc.encode(t, end_id)
+                bounds, every = enc.encode_all(part.column(1), end_id)
+                for key, first, last in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = every[first:last]
                     edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                     for no, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                         for column, value in zip(out, (key, no, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].view(np.int32))):
