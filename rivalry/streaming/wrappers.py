@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,63 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def new_run(spark: SparkSession) -> str:
     return shared_folder(spark)
+
+
+def route_late(stream: DataFrame, path: str, time_col: str, delay: str) -> None:
+    """Drains the source; rows behind the watermark go to a table of their own and are counted.
+
+    The watermark of a batch is the greatest time of all earlier batches less ``delay`` (an
+    interval such as "2 days"). Every batch overwrites its own folders ``kept``, ``late`` and
+    ``accounts`` below ``path``, so a replayed batch changes nothing, and sent = kept + late.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = accounts(spark, path).where(F.col("batch") < batch_id).agg((F.max("high") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()["mark"]
+        late = F.lit(False) if earlier is None else F.coalesce(F.col(time_col) < F.lit(earlier), F.lit(False))
+        batch.withColumn("is_late", late).write.mode("overwrite").partitionBy("is_late").parquet(f"{path}/rows/batch={batch_id}")
+        rows = spark.read.schema(f"{time_col} timestamp, is_late boolean").parquet(f"{path}/rows/batch={batch_id}")
+        counts = rows.agg(F.count("*").alias("sent"), F.count_if(~F.col("is_late")).alias("kept"), F.count_if("is_late").alias("late"), F.max(time_col).alias("high"))
+        counts.write.mode("overwrite").parquet(f"{path}/accounts/batch={batch_id}")
+
+    q = (stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).foreachBatch(write).start())
+    q.awaitTermination()
+
+
+def accounts(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, sent, kept, late, high) of the batches routed so far."""
+    schema = "sent long, kept long, late long, high timestamp, batch int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/accounts")
+    except AnalysisException:  # nothing routed yet
+        return spark.createDataFrame([], schema)
+
+
+def routed(spark: SparkSession, path: str, schema, late: bool = False) -> DataFrame:
+    """The rows kept, or those that came late, with their batch."""
+    rows = spark.read.option("basePath", f"{path}/rows").schema(f"{schema}, is_late boolean, batch int").parquet(f"{path}/rows")
+    return rows.where(F.col("is_late") == late).drop("is_late")
+
+
+def drain(stream: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> list[dict]:
+    """Runs what is available and returns each batch's late rows as the state operators counted them."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/data/part={batch_id}")
+
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).foreachBatch(write).start())
+    q.awaitTermination()
+    return [{"batch": p["batchId"], "dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])} for p in q.recentProgress]
+
+
+def settle_stream(stream: DataFrame, path: str, table, settle: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], list[int]]:
+    """Merges what each batch settles into a keyed table; returns the handler, which a replay may call again.
+
+    ``settle(batch, table rows)`` returns the changed rows. A batch commits under its number,
+    so a batch that is replayed after a failure, before or after its commit, counts once.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> list[int]:
+        return table.merge(settle(batch, table.read()), f"batch-{batch_id}")
+
+    q = (stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True)
+         .foreachBatch(lambda batch, batch_id: handle(batch, batch_id) and None).start())
+    q.awaitTermination()
+    return handle
