@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivalry.llm.memory import released
 from rivalry.session import persist_table
 
 
@@ -39,7 +40,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     written table, so a lost executor costs its part of one round.
     """
     ends = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-    current = persist_table(ends.mapInArrow(_forest, "u long, v long"))
+    current = persist_table(ends.mapInArrow(released(_forest), "u long, v long"))
     mark = None
     while True:
         now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from rivalry.llm.bloom import thin_out
 from rivalry.llm.caps import forest
 from rivalry.llm.graph import components
+from rivalry.llm.memory import released
 from rivalry.llm.shingles import mix, shingle_sets
+from rivalry.llm.tokens import together
 from rivalry.session import persist_table
 
 #: Shingles that are counted, as a multiple of a prefix.
@@ -68,13 +70,12 @@ def measured(source: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in together(batch, 1, 1 << 20):
                 columns = zip(*[row(s) for _, s in shingle_sets(part.column(1), k)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
                                                  names=["doc_id", "n", "d1", "d2", "bits", "chosen", "rest"])
 
-    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits array<long>, chosen array<long>, rest array<long>")
+    return source.mapInArrow(released(run), "doc_id long, n long, d1 long, d2 long, bits array<long>, chosen array<long>, rest array<long>")
 
 
 def prefixes(heads: DataFrame, percent: int) -> DataFrame:
@@ -195,11 +196,12 @@ def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
     def sets(batches):
         for batch in batches:
-            out = [s.tobytes() for _, s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "set"])
+            for part in together(batch, 1, 1 << 20):
+                out = [s.tobytes() for _, s in shingle_sets(part.column(1), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "set"])
 
     some = thin_out(source.withColumn("id_hash", F.xxhash64("doc_id")), ids, "id_hash").select("doc_id", "text")
-    held = persist_table(some.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"))
+    held = persist_table(some.join(ids, "doc_id", "left_semi").mapInArrow(released(sets), "doc_id long, set binary"))
 
     def check(batches):
         for batch in batches:
@@ -212,7 +214,7 @@ def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
     full = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
         held.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return persist_table(full.mapInArrow(check, "a long, b long"))
+    return persist_table(full.mapInArrow(released(check), "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

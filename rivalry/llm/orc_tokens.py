@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rivalry.llm.memory import released
 from rivalry.llm.tokens import encoder, together
 from rivalry.session import persist_table
 
@@ -39,7 +40,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+    return source.mapInArrow(released(run), "doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, keeps_blanks: bool = False,
@@ -80,7 +81,7 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     running sum inside a file orders only that file's documents.
     """
     stored = read_tokens(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), "ids")
-    rows = persist_table(stored.mapInArrow(_measure, "doc_id long, file string, n_tokens long, ids_crc32 long"))
+    rows = persist_table(stored.mapInArrow(released(_measure), "doc_id long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

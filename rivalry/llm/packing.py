@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivalry.llm.memory import released
 from rivalry.llm.tokens import encoder, together
 from rivalry.session import persist_table
 
@@ -51,7 +52,7 @@ def cut_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(released(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def plan_bins(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivalry.llm.memory import release
 from rivalry.llm.tokens import texts, vocabulary
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -148,11 +149,15 @@ def redactor(tokens: str = "byte_bpe_50k.tiktoken", ratio: float = RATIO, known_
     @F.arrow_udf("string")
     def clean(column: pa.Array) -> pa.Array:
         enc = encoding(tokens)
-        out = []
-        for t in column.to_pylist():
-            base = pattern_spans(t) if t else []
-            out.append(_without(t, sorted(base + random_spans(t, base, enc, ratio, known)), redact) if t else t)
-        return pa.array(out, pa.string())
+        parts = []
+        for at in range(0, len(column), 256):  # slices, so that a batch never exists twice as Python text
+            out = []
+            for t in column.slice(at, 256).to_pylist():
+                base = pattern_spans(t) if t else []
+                out.append(_without(t, sorted(base + random_spans(t, base, enc, ratio, known)), redact) if t else t)
+            parts.append(pa.array(out, pa.string()))
+        release()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return clean
 
