@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Words and pieces that a worker remembers in each of two generations, and the longest of them; bounds memory to some 50 and 5 MB a generation, never the result.
 WORDS, PIECES, LONGEST = 250_000, 25_000, 64
 #: Bytes of text that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 #: A blank that follows a non-blank: both vocabularies start a new token there.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: A run of letters that no normaliser joins with its neighbours, then nothing or an ASCII sign and the rest.
@@ -44,6 +44,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+#: Runs of which every letter has a spelling there.
+SPELLED = re.compile(r"[\x00-\u024F]*")
 #: A blank in the same alphabet.
 BLANK = "\u0120"
 
@@ -94,7 +96,7 @@ class PieceEncoder:
         """
         text = letters if self.keeps_blanks else letters.lower()
         if not text.isascii():
-            if any(ord(c) > 0xBF and ord(c) not in BYTE_LETTERS for c in text):
+            if not SPELLED.fullmatch(text):
                 return self._whole(" " + letters if self.keeps_blanks else letters)
             text = text.translate(BYTE_LETTERS)
         return _packed([t.id for t in self.model.tokenize(BLANK + text if self.keeps_blanks else text)])
@@ -143,7 +145,7 @@ class PieceEncoder:
                 text = " ".join(pieces[j] for j in place[first[i]:offsets[i + 1]].tolist())
                 entries.append(b"".join(map(self.alone.__getitem__, CUT.split(text))))
             else:
-                entries.append(self.alone[head])
+                entries.append(self.alone[head] if self.keeps_blanks else self._after_blank(head))
         size = np.array([len(e) // 4 for e in entries], dtype=np.int64)
         start, known = np.cumsum(size) - size, np.frombuffer(b"".join(entries), dtype="<u4")
         place[first] = len(pieces) + np.arange(n)
@@ -155,9 +157,12 @@ class PieceEncoder:
         ends = np.bincount(owner, weights=many, minlength=n).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(ends)])
         out = np.full(bounds[-1], end_id, dtype="<u4")
-        gone = np.cumsum(many) - many
-        flat = np.arange(many.sum())
-        out[flat + np.repeat(owner, many)] = known[flat + np.repeat(start[place] - gone, many)]
+        narrow = np.int32 if max(bounds[-1], len(known)) < 1 << 31 else np.int64
+        shift = (start[place] - (np.cumsum(many) - many)).astype(narrow)
+        flat = np.arange(many.sum(), dtype=narrow)
+        ids = known[flat + np.repeat(shift, many)]
+        flat += np.repeat(owner.astype(narrow), many)
+        out[flat] = ids
         return bounds, out
 
 
