@@ -382,7 +382,9 @@ def veto_backtest(matches: DataFrame, models: DataFrame, days: int | None = C.VE
 
 def model_ranking(summary: DataFrame, top: int = 5) -> DataFrame:
     """Splits of the models that lead the overall log-loss ranking."""
-    lead = summary.where((F.col("format") == "all") & (F.col("slot") == "all")).orderBy(F.coalesce("log_loss", F.lit(999.0)), "model").limit(top).select("model")
+    # rounded: models whose losses are equal but for the order of summation rank by name
+    loss = F.round(F.coalesce("log_loss", F.lit(999.0)), 9)
+    lead = summary.where((F.col("format") == "all") & (F.col("slot") == "all")).orderBy(loss, "model").limit(top).select("model")
     return summary.where((F.col("format") != "all") | (F.col("slot") != "all")).join(F.broadcast(lead), "model", "left_semi")
 
 

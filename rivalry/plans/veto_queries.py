@@ -256,7 +256,7 @@ def veto_backtest(t):
     return exact(s.where(F.col("format") == "all").select("model", "rows", "log_loss", "mean_actual_prob"))
 
 
-@query("T6_model_ranking", signal_sql(PRESETS + " SELECT model, format, slot, rows, round(log_loss, 9) AS log_loss FROM sm WHERE format <> 'all' AND model IN (SELECT model FROM sm WHERE format = 'all' ORDER BY log_loss, model LIMIT 5)"))
+@query("T6_model_ranking", signal_sql(PRESETS + " SELECT model, format, slot, rows, round(log_loss, 9) AS log_loss FROM sm WHERE format <> 'all' AND model IN (SELECT model FROM sm WHERE format = 'all' ORDER BY round(log_loss, 9), model LIMIT 5)"))
 def model_ranking(t):
     return exact(V.model_ranking(persist_table(V.veto_backtest(persist_table(parsed(t)), V.model_frame(t.spark)))).select("model", "format", "slot", "rows", "log_loss"))
 
