@@ -23,9 +23,12 @@ def in_ranges(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) ->
 
     Spark samples the cut points, and equal keys share a range. The numbers are those of the
     partitions that were written, so they stay the same whenever the table is read again.
+    Rows that fit into one range are written once.
     """
     stored = persist_table(df)
     ranges = max(1, -(-stored.count() // rows_per_range))
+    if ranges == 1:
+        return stored.withColumn("range_no", F.lit(0))
     return persist_table(stored.repartitionByRange(ranges, key).withColumn("range_no", F.spark_partition_id()))
 
 

@@ -124,7 +124,7 @@ def hierarchical_rates(train: DataFrame, rows: DataFrame, weight: float = C.FORF
     out = rows
     for i, keys in enumerate(levels):
         table = g.where(F.col("gid") == (0, 1, 3)[i]).select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias(f"k{i}"), F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}"))
-        out = salted_lookup(out.withColumn(f"k{i}", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), table, f"k{i}", "match_id")
+        out = salted_lookup(out.withColumn(f"k{i}", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), table, f"k{i}", ["match_id"])
     out = out.crossJoin(F.broadcast(overall))
     s, n = F.coalesce("s0", "s1", "s2", F.lit(0)), F.coalesce("n0", "n1", "n2", F.lit(0))
     return out.select(*rows.columns, ((s + F.col("overall") * weight) / (n + weight)).alias("baseline_rate"))

@@ -114,46 +114,62 @@ def event_hints(resolved: DataFrame) -> DataFrame:
     return g.where(F.col("hint") == F.col("other")).select("event_key", "hint")
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str], salts: int = 16) -> DataFrame:
     """Left join on a key of few distinct values; each key is spread over ``salts`` partitions."""
     salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
+    return left.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
 
 
 #: Hints up to which their table is broadcast: one short row per event.
 FEW_HINTS = 100_000
 
 
-def resolve_eras(corpus: DataFrame, eras: DataFrame) -> DataFrame:
+def resolve_eras(corpus: DataFrame, eras: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds ``era`` (struct): explicit metadata, veto evidence, event hint, then the date.
 
-    Hints are one narrow row per event. A small table of them is broadcast to the records;
-    beyond ``FEW_HINTS`` only (url, event_key) with null as an empty url is shuffled to look a hint up, not the record.
+    Logs are parsed once: the parsed rows, of which only the columns ``keep`` are carried
+    along (all by default), are stored with what metadata and evidence say; hints are summed
+    from that table and looked up in it by event. A small table of hints is broadcast, a
+    larger one meets the rows in salted parts of the event.
     """
-    def parsed(df: DataFrame) -> DataFrame:
-        return X.settle(df, parsed=parsed_lines(F.col("hltv_vetoes")), day=F.to_date(X.parse_date(F.col("date"))),
-                        event_key=F.lower(X.strip(X.text(F.col("event")))))
-
-    hints = persist_table(event_hints(resolve_without_hints(with_registry(parsed(corpus), eras))))  # one row per event
-    df = parsed(corpus)
+    keep = corpus.columns if keep is None else keep
+    df = X.settle(corpus, parsed=parsed_lines(F.col("hltv_vetoes")), day=F.to_date(X.parse_date(F.col("date"))),
+                  event_key=F.lower(X.strip(X.text(F.col("event")))))
+    known = resolve_without_hints(with_registry(df, eras))
+    rest = [c for c in keep if c not in ("parsed", "day", "event_key", "explicit", "inferred")]
+    stored = persist_table(known.select(*rest, "parsed", "day", "event_key", "explicit", "inferred"))
+    hints = persist_table(event_hints(stored))  # one row per event
     if hints.limit(FEW_HINTS + 1).count() <= FEW_HINTS:
-        df = df.join(F.broadcast(hints), "event_key", "left")
+        df = stored.join(F.broadcast(hints), "event_key", "left")
     else:
-        df = df.withColumn("url_key", F.coalesce("url", F.lit("")))  # a null url would find nothing
-        found = salted_lookup(df.select("url_key", "event_key").distinct(), hints, "event_key", "url_key").select("url_key", "event_key", "hint")
-        df = df.join(found, ["url_key", "event_key"], "left").drop("url_key")
-    j = resolve_without_hints(with_registry(df, eras))
+        df = salted_lookup(stored, hints, "event_key", [c for c, kind in stored.dtypes if "map<" not in kind])
+    j = with_registry(df, eras)
     hinted = _first(F.filter("eras", lambda e: F.lower(e["name"]) == F.lower(F.col("hint"))))
     era = F.coalesce(F.col("explicit"), F.col("inferred"), hinted, era_for_date(F.col("day"), F.col("eras")))
-    return X.settle(j, era=era).drop("eras", "explicit", "inferred", "hint", "observed")
+    return X.settle(j, era=era).drop("eras", "explicit", "inferred", "hint")
 
 
 # ---- matches with numbered actions ----------------------------------------
+def _map_winner(m: Column) -> Column:
+    """The side that won a map of the record, by its normalised name."""
+    s1, s2 = (X.strip(m[c]).try_cast("int") for c in ("team1_score", "team2_score"))
+    raw = X.normalize_name(F.when(s1 > s2, m["team1"]).when(s2 > s1, m["team2"]))
+    a, b = F.col("team_a_id"), F.col("team_b_id")
+    near = F.when(F.contains(a, raw) | F.contains(raw, a), a).when(F.contains(b, raw) | F.contains(raw, b), b)
+    return F.when(s1.isNull() | s2.isNull() | (s1 == s2), None).when(raw == a, a).when(raw == b, b).otherwise(near)
+
+
 def veto_matches(corpus: DataFrame, eras: DataFrame) -> DataFrame:
-    """One row per usable veto log: teams, format, era, numbered actions, played maps."""
+    """One row per usable veto log: teams, format, era, numbered actions, played maps.
+
+    Everything that does not depend on the era is reduced to short columns before the era
+    is looked up, so the nested record is read once and never stored.
+    """
     df = X.settle(corpus, blob=text_blob(corpus)).where(invalid_veto_reason(F.col("blob")).isNull()).drop("blob")
-    df = resolve_eras(df, eras)
     df = X.settle(df, team_a_id=X.normalize_name(F.col("team1")), team_b_id=X.normalize_name(F.col("team2")), match_format=X.normalize_format(F.col("format")))
+    played = F.filter(F.transform("hltv_maps", lambda m: F.struct(X.canonical_map(m["map_name"]).alias("map"), _map_winner(m).alias("winner"))), lambda p: p["map"].isNotNull())
+    df = X.settle(df, played=played)
+    df = resolve_eras(df, eras, ["url", "team_a_id", "team_b_id", "match_format", "played"])
     df = df.where(F.col("day").isNotNull() & F.col("era").isNotNull() & (F.col("team_a_id") != "") & (F.col("team_b_id") != "") & F.col("match_format").isin(*FORMATS))
     sides = F.array("team_a_id", "team_b_id")
     pool = F.col("era.maps")
@@ -172,15 +188,7 @@ def veto_matches(corpus: DataFrame, eras: DataFrame) -> DataFrame:
                         s["map"].alias("map_name"), F.when(s["action"] == "ban", slot).alias("team_ban_index"),
                         F.array_except(pool, F.transform(earlier, lambda e: e["map"])).alias("pool_before"))
 
-    def winner(m: Column) -> Column:
-        s1, s2 = (X.strip(m[c]).try_cast("int") for c in ("team1_score", "team2_score"))
-        raw = X.normalize_name(F.when(s1 > s2, m["team1"]).when(s2 > s1, m["team2"]))
-        a, b = F.col("team_a_id"), F.col("team_b_id")
-        near = F.when(F.contains(a, raw) | F.contains(raw, a), a).when(F.contains(b, raw) | F.contains(raw, b), b)
-        return F.when(s1.isNull() | s2.isNull() | (s1 == s2), None).when(raw == a, a).when(raw == b, b).otherwise(near)
-
-    played = F.filter(F.transform("hltv_maps", lambda m: F.struct(X.canonical_map(m["map_name"]).alias("map"), winner(m).alias("winner"))), lambda p: p["map"].isNotNull())
-    df = X.settle(df, actions=F.transform("kept", numbered), played=played)
+    df = X.settle(df, actions=F.transform("kept", numbered))
     return df.where(F.size("actions") > 0).select(F.col("url").alias("match_id"), F.col("day").alias("date"), "match_format", "team_a_id", "team_b_id",
                                                   F.col("era.name").alias("era_name"), pool.alias("pool"), "actions", "played")
 
@@ -232,9 +240,11 @@ def history_probes(matches: DataFrame) -> DataFrame:
 
 
 def with_history(matches: DataFrame, days: int | None = C.VETO_DAYS) -> DataFrame:
-    """Adds ``counts``: history before the match in (date, match_id) order, within ``days`` (same day included)."""
-    ranged = in_ranges(matches, "match_id")
-    matches = ranged.drop("range_no")
+    """Adds ``counts``: history before the match in (date, match_id) order, within ``days`` (same day included).
+
+    ``matches`` should be a stored table: only its ids are dealt out into ranges.
+    """
+    ranged = matches.join(in_ranges(matches.select("match_id").distinct(), "match_id"), "match_id")
     asof = counts_before(history_events(ranged), history_probes(ranged), ["key"], ["n"], days).where(F.col("n") > 0)
     # at most one entry per probe of the match
     per = asof.groupBy("match_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))

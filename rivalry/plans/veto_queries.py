@@ -88,7 +88,7 @@ def veto_sql(body: str) -> str:
 
 @query("J12_era_resolve", over("corpus", body=f"{ERA_SQL} SELECT url, era AS era_name, array_to_string(pool, ',') AS pool FROM rp"))
 def era_resolve(t):
-    r = V.resolve_eras(veto_corpus(t), V.era_frame(t.spark, ERAS))
+    r = V.resolve_eras(veto_corpus(t), V.era_frame(t.spark, ERAS), ["url"])
     return r.select("url", F.col("era.name").alias("era_name"), F.array_join("era.maps", ",").alias("pool"))
 
 
@@ -307,7 +307,7 @@ def validate_eras(t):
     """Eras as observed in the corpus, each starting with its first contest day."""
     from pyspark.sql import Window
 
-    r = V.resolve_eras(veto_corpus(t), V.era_frame(t.spark, ERAS))
+    r = V.resolve_eras(veto_corpus(t), V.era_frame(t.spark, ERAS), [])
     seen = r.groupBy(F.col("era.name").alias("name")).agg(F.min("day").alias("start"), F.min("era.maps").alias("maps"))
     seen = seen.withColumn("era_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("start", "name")))  # one row per era
     return K.era_violations(seen, list(C.MAP_ALIASES))

@@ -106,11 +106,11 @@ def resolve_aliases(labels: DataFrame, known: DataFrame, event_aliases: DataFram
     d = labels.withColumn("k", X.alias_key(F.col("label")))
     kn = known.groupBy(X.alias_key(F.col("name")).alias("k")).agg(F.max("name").alias("known_name"))
     ev = event_aliases.groupBy(X.alias_key(F.col("alias")).alias("k")).agg(F.max("team").alias("event_team"))
-    d = salted_lookup(salted_lookup(d, ev, "k", "row_id"), kn, "k", "row_id")
+    d = salted_lookup(salted_lookup(d, ev, "k", ["row_id"]), kn, "k", ["row_id"])
     glob = F.create_map(*[F.lit(x) for kv in global_aliases.items() for x in kv])
     d = d.withColumn("alias_team", F.coalesce(F.col("event_team"), F.when(F.col("known_name").isNull(), F.try_element_at(glob, F.col("k")))))
     d = d.withColumn("k", X.alias_key(F.col("alias_team")))
-    d = salted_lookup(d, kn.withColumnRenamed("known_name", "canonical"), "k", "row_id")
+    d = salted_lookup(d, kn.withColumnRenamed("known_name", "canonical"), "k", ["row_id"])
     out = F.coalesce(F.when(F.col("alias_team").isNotNull(), F.coalesce("canonical", "alias_team")), "known_name", F.trim("label"))
     return d.select("row_id", "label", out.alias("team"))
 
