@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["feature_queries", "clean_queries", "report_queries", "veto_queries", "model_queries", "experiment_queries", "stream_queries"]
+MODULES = ["feature_queries", "clean_queries", "report_queries", "veto_queries", "model_queries", "experiment_queries", "stream_queries", "fit_queries"]
 
 
 def load_all() -> None:

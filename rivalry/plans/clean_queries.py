@@ -430,7 +430,14 @@ def trend_regression(t):
     return r.select("buckets", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 6).alias("r2"), "start", "end")
 
 
-@query("X12_ttest_p")
+# the density of Student's t, integrated by Simpson's rule
+@query("X12_ttest_p", _forfeits(""", g AS (SELECT CAST(date_trunc('month', date) AS DATE) AS period_start, avg(CAST(has_forfeit AS INT)) AS rate FROM f GROUP BY 1)
+    , p AS (SELECT *, date_diff('day', (SELECT min(period_start) FROM g), period_start) AS x FROM g)
+    , r AS (SELECT count(*) AS buckets, count(*) - 2.0E0 AS v, regr_r2(rate, x) AS r2 FROM p HAVING count(*) >= 3)
+    , t AS (SELECT *, sqrt(r2 * v / (1 - r2)) AS t, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) AS c FROM r)
+    , i AS (SELECT buckets, t, sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * c * pow(1 + pow(k * t / 4000, 2) / v, -(v + 1) / 2)) * t / 12000 AS half
+            FROM t, (SELECT unnest(range(0, 4001)) AS k) GROUP BY 1, 2)
+    SELECT buckets, round(1 - 2 * half, 6) AS p_value, 1 - 2 * half < 0.05 AS significant FROM i"""))
 def trend_p_value(t):
     r = D.trend_regression(D.period_trend(D.forfeit_rows(corpus(t)), "month"))
     return r.select("buckets", F.round("p_value", 6).alias("p_value"), "significant")
