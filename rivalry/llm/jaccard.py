@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rivalry.llm.bloom import thin_out
 from rivalry.llm.caps import forest
 from rivalry.llm.graph import components
-from rivalry.llm.memory import released
+from rivalry.llm.memory import release, released
 from rivalry.llm.shingles import mix, shingle_sets
 from rivalry.llm.tokens import together
 from rivalry.session import persist_table
@@ -133,6 +133,9 @@ def _candidates(percent: int, all_pairs: bool):
         else:
             pairs = np.array(forest(ok | ok.T if left == right else ok, left == right), dtype=np.int64).reshape(-1, 2)
         one, two = col["node"][a[pairs[:, 0]]], col["node"][b[pairs[:, 1]]]
+        if len(order) >= BLOCK:
+            del ok, groups, bits
+            release()
         return pa.table({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
 
     return run

@@ -12,7 +12,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 #: Text bytes that are hashed at a time (a longer text is taken whole).
-SLICE = 1 << 20
+SLICE = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, value in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
             table = np.full(size, value, dtype=np.uint64)
             table[0] = 1
