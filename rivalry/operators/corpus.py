@@ -52,3 +52,48 @@ def team_profile(maps: DataFrame, as_of: str) -> DataFrame:
 
 def sample_flags(team_maps_30: Column, map_maps: Column, need_team: int = 10, need_map: int = 3) -> dict[str, Column]:
     return {"low_team_sample": team_maps_30 < need_team, "low_map_sample": map_maps < need_map}
+
+
+def team_streak(maps: DataFrame, as_of: str) -> DataFrame:
+    """(team, last_loss, win_streak): series won since the day of the last lost one, before ``as_of``.
+
+    Series are rolled up to one short row per team and day first, so a team's two passes
+    read days, not maps. A series with a forfeit counts for neither side.
+    """
+    from rivalry.operators.features import series_rows
+
+    day = F.to_date("date")
+    s = series_rows(maps.where(day < F.lit(as_of).cast("date")))
+    days = s.groupBy("team", "date").agg(F.sum("series_won").alias("wins"), F.sum("series_lost").alias("losses"))
+    last = days.groupBy("team").agg(F.max(F.when(F.col("losses") > 0, F.col("date"))).alias("last_loss"))
+    since = F.col("last_loss").isNull() | (F.col("date") > F.col("last_loss"))
+    return days.join(last, "team").groupBy("team", "last_loss").agg(F.sum(F.when(since, F.col("wins")).otherwise(0)).cast("long").alias("win_streak"))
+
+
+def team_maps(maps: DataFrame, as_of: str, map_days: int = C.MAP_DAYS, pick_days: int = 30) -> DataFrame:
+    """Per team and map: record of the last ``map_days`` and how often it was the team's first pick in ``pick_days``.
+
+    One row per (team, series, map) is counted on the map side; rates are null without rows.
+    """
+    from rivalry.operators.features import side_rows
+
+    limit = F.lit(as_of).cast("date")
+    s = side_rows(maps.where(F.to_date("date") < limit))
+    recent = F.col("date") >= F.date_sub(limit, pick_days)
+    record = s.where(F.col("date") >= F.date_sub(limit, map_days)).groupBy("team", "map_name").agg(
+        F.count("*").alias("maps"), F.count_if(F.col("score_self") > F.col("score_opp")).alias("wins"))
+    series = s.where(recent).groupBy("team", "match_id").agg(F.min_by("map_name", F.when(F.col("picked"), F.col("map_pos"))).alias("map_name"))
+    picks = series.where(F.col("map_name").isNotNull()).groupBy("team", "map_name").agg(F.count("*").alias("picks"))
+    total = series.groupBy("team").agg(F.count("*").alias("series"))
+    rows = record.join(picks, ["team", "map_name"], "full").join(total, "team", "left").fillna(0, ["maps", "wins", "picks", "series"])
+    return rows.select("team", "map_name", "maps", "wins", F.try_divide("wins", "maps").alias("win_rate"), "picks", "series", F.try_divide("picks", "series").alias("pick_rate"))
+
+
+def head_to_head_record(maps: DataFrame, as_of: str, windows: tuple[int, ...] = (30, 90)) -> DataFrame:
+    """Per team and opponent: maps met and won, within each window and over all time."""
+    from rivalry.operators.features import side_rows
+
+    limit = F.lit(as_of).cast("date")
+    s = side_rows(maps.where(F.to_date("date") < limit))
+    parts = [(f"{d}d", F.col("date") >= F.date_sub(limit, d)) for d in windows] + [("all", F.lit(True))]
+    return s.groupBy("team", "opponent").agg(*[F.count_if(c).alias(f"maps_{n}") for n, c in parts], *[F.count_if(c & F.col("won")).alias(f"wins_{n}") for n, c in parts])

@@ -394,3 +394,39 @@ def performance_report(latest: DataFrame) -> dict[str, DataFrame]:
         "favourite_bins": M.bin_record(M.fixed_bins(fav, 50, 100, 5)), "favourite_adaptive_bins": M.bin_record(M.adaptive_bins(fav)),
         "edge_stats": edge_stats(settled), "biggest_upsets": biggest_upsets(settled),
     }
+
+
+#: Table of the report -> (key column or nothing, measures).
+REPORT = {
+    "summary": (None, ["total_matches", "valid_matches", "settled", "pending", "other", "excluded", "model_correct", "bookie_correct", "n_with_odds",
+                       "model_accuracy", "bookie_accuracy", "brier", "log_loss"]),
+    "reasons": ("reason", ["count"]),
+    **{f"{name}_bins": (key, ["count", "wins", "avg_prob", "observed", "ci_low", "ci_high", "error", "p_value"])
+       for name, key in (("calibration", "lo"), ("adaptive", "bin_no"), ("favourite", "lo"), ("favourite_adaptive", "bin_no"))},
+    **{f"{name}_summary": (None, ["evaluations", "expected_wins", "observed_wins", "ece", "mce", "signed_bias"])
+       for name in ("calibration", "adaptive", "favourite", "favourite_adaptive")},
+    "edge_stats": ("slice", ["bets", "wins", "win_rate", "avg_edge", "flat_roi", "confidence_roi", "t"]),
+    "biggest_upsets": ("match_url", ["favourite_prob"]),
+}
+
+
+def report_rows(latest: DataFrame) -> DataFrame:
+    """The whole report as one long table (part, key, measure, value), every row of every table.
+
+    ``latest`` should be a stored table. The bins are narrow tables of at most a hundred rows,
+    stored once for their own rows and their summaries.
+    """
+    from rivalry.operators import metrics as M
+    from rivalry.session import persist_table
+
+    tables = performance_report(latest)
+    tables["reasons"] = tables["reasons"].withColumn("reason", F.concat_ws("|", "kind", "value"))
+    for name in ("calibration", "adaptive", "favourite", "favourite_adaptive"):
+        tables[f"{name}_bins"] = persist_table(tables[f"{name}_bins"])  # at most twenty rows
+        tables[f"{name}_summary"] = M.calibration_summary(tables[f"{name}_bins"])
+    out = None
+    for name, (key, measures) in REPORT.items():
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        rows = tables[name].select(F.lit(name).alias("part"), (F.col(key).cast("string") if key else F.lit("")).alias("key"), F.inline(each))
+        out = rows if out is None else out.unionByName(rows)
+    return out
