@@ -2,8 +2,8 @@
 
 Every stage works on all rows its predecessor kept. Defined cases: empty tables pass through;
 null texts have no words and go at the first stage; rows with a null id are never near
-duplicates of others; rows that repeat an id count as one document for the near-duplicate
-stage, which keeps one of them; extra columns are carried along.
+duplicates of others; rows of one id with different texts are different documents for the
+near-duplicate stage, rows that repeat id and text are one; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rivalry.llm import jaccard, mixing, packing, quality, secrets
 from rivalry.session import persist_table
 
-ROW = "corpus_row"
+ROW, NUMBER, DIGEST, AGAIN, FIRST = "corpus_row", "corpus_number", "corpus_digest", "corpus_again", "corpus_first"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the smallest id."""
-    found = jaccard.similar_documents(docs, 5, 80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(ROW)
-    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select(f"{ROW}.*")
-    return single.unionByName(repeated.select(*docs.columns))
+    """Keeps one document of each group: the smallest id.
+
+    A document is known by its id and its text. Of an id that stands at several texts one
+    keeps the id as its number, the others get numbers beyond all usual ids, so that they never
+    stand for a group before an ordinary document; rows that repeat both are one document.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")).where("doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")).where("n > 1").drop("n")
+    again = persist_table(several)  # stored, so that the joins can split an id of many rows
+    held = docs.withColumn(DIGEST, F.xxhash64("text")).join(again.select(F.col("doc_id").alias(AGAIN), F.col("first").alias(FIRST)),
+                                                            F.col("doc_id") == F.col(AGAIN), "left")
+    far = F.shiftrightunsigned(F.xxhash64("doc_id", DIGEST), 2).bitwiseOR(F.lit(1 << 62))
+    number = F.when(F.col(AGAIN).isNotNull() & (F.col(DIGEST) != F.col(FIRST)), far).otherwise(F.col("doc_id").cast("long"))
+    numbered = held.select(*[F.col(f"`{c}`") for c in docs.columns], number.alias(NUMBER), F.col(AGAIN).isNotNull().alias(AGAIN))
+    found = jaccard.similar_documents(numbered, 5, 80, doc_id=NUMBER)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(NUMBER)).distinct()
+    kept = numbered.join(gone, NUMBER, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    single = kept.where(~F.col(AGAIN)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = kept.where(AGAIN).groupBy(NUMBER).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(ROW)).select(f"{ROW}.*")
+    return single.unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
