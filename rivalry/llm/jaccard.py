@@ -41,8 +41,8 @@ from rivalry.llm.shingles import mix, shingle_sets
 from rivalry.llm.tokens import together
 from rivalry.session import persist_table
 
-#: Shingles that are counted, as a multiple of a prefix.
-LEADING = 2
+#: Shingles that are counted, as a multiple of a prefix: mostly shingles of one document alone, so a little more than a prefix suffices.
+LEADING = 1.25
 #: Documents of a shingle up to which its pairs are joined, and those that meet in one task beyond it.
 FEW, BLOCK = 32, 1024
 #: Bits of the bitmap that bounds the difference of two sets.
@@ -55,7 +55,7 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def measured(source: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document: size, digest of its set, bitmap, its shingles of the leading share, and what a prefix needs of the others."""
-    share = min(1 << 16, (100 - percent) * LEADING * (1 << 16) // 100 + 1)
+    share = min(1 << 16, int((100 - percent) * LEADING * (1 << 16) / 100) + 1)
     kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
 
     def row(s: np.ndarray) -> tuple:
