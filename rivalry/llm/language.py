@@ -12,7 +12,7 @@ by a hash of the id. Everything else covers all rows.
 Defined cases: a null or empty text gives no text evidence; a null or unreadable address, host
 or declaration gives none of that kind (the host's prior is then the whole table's); ties go to
 the first language in code-point order; null or repeated ids are rows like any other; an empty
-table gives no rows; with no labelled rows fitting is an error; other columns are ignored.
+table gives no rows; pages of any length are walked once; with no labelled rows fitting is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +33,45 @@ BUCKETS = 1 << 15
 WEIGHT = 0.2
 #: Pseudo-counts of a parent in its child's prior, and of a table of reliabilities.
 KAPPA, FLOOR = 8.0, 0.5
-UNSEEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+#: Elements whose content is not seen, and where they end.
+HIDDEN = re.compile(r"<(?:(script)|style)\b", re.IGNORECASE)
+HIDDEN_END = {True: re.compile(r"</script\s*>", re.IGNORECASE), False: re.compile(r"</style\s*>", re.IGNORECASE)}
+HTML, LANG = re.compile(r"<html\b[^>]*", re.IGNORECASE), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 
 
 def visible(html: str) -> str:
-    """Text between tags, without scripts, styles and comments."""
-    return UNSEEN.sub(" ", html)
+    """Text between tags, without scripts, styles and comments.
+
+    One walk over the page: what has no end is looked for once only, so a page of unclosed tags
+    costs no more than any other. A comment or script without an end is a tag like others.
+    """
+    out, done, endless = [], 0, set()
+    at = html.find("<")
+    while at >= 0:
+        end = -1
+        if html.startswith("<!--", at) and "--" not in endless:
+            end = html.find("-->", at + 4)
+            end = end + 3 if end >= 0 else endless.add("--") or -1
+        elif m := HIDDEN.match(html, at):
+            kind = m[1] is not None
+            if kind not in endless:
+                close = HIDDEN_END[kind].search(html, m.end())
+                end = close.end() if close else endless.add(kind) or -1
+        if end < 0:
+            end = html.find(">", at + 1) + 1
+            if not end:
+                break
+        out += [html[done:at], " "]
+        done, at = end, html.find("<", end)
+    return "".join([*out, html[done:]])
 
 
 def declared(html: str) -> str | None:
-    found = DECLARED.search(html)
-    return found[1].lower() if found else None
+    """The language of the first html tag that names one."""
+    for tag in HTML.finditer(html):
+        if found := LANG.search(tag[0]):
+            return found[1].lower()
+    return None
 
 
 def _buckets(data: np.ndarray) -> np.ndarray:

@@ -8,7 +8,8 @@ that is not random as a whole is tested part by part between its signs, as a nam
 a key dilutes the ratio. All positions are code points, ends exclusive.
 
 Defined cases: a null text is empty; empty texts and tables have no spans; null or repeated
-ids are separate rows; other columns are ignored.
+ids are separate rows; texts of any length are walked once per pattern; of spans that begin
+together the kind listed first comes first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words, numbers and camel-case parts joined by signs: names rather than keys.
-IDENTIFIER = re.compile(r"[_=/+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_=/+-]+(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})|[A-Z][a-z]{2,})*[_=/+-]*")
+#: Words of under 20 letters, numbers and camel-case parts joined by signs: names rather than keys.
+IDENTIFIER = re.compile(r"[_=/+-]*(?:[A-Z]?[a-z]{2,19}|[A-Z]{2,19}|[0-9]{1,4})(?:[_=/+-]+(?:[A-Z]?[a-z]{2,19}|[A-Z]{2,19}|[0-9]{1,4})|[A-Z][a-z]{2,19})*[_=/+-]*")
 #: Characters per token below which a run counts as random.
 RATIO = 2.0
-#: The same for letters of both cases without a digit, and the least length of a part.
-CLEAR, LEAST = 1.75, 20
+#: The least length of a part.
+LEAST = 20
 #: Signs at which a run is cut, outermost first.
 SIGNS = "=/_-"
 
@@ -72,11 +73,8 @@ def _excluded(run: str, known: frozenset[str]) -> bool:
 
 
 def _random(run: str, enc, ratio: float) -> bool:
-    if any(c.isdigit() for c in run):
-        most = ratio if any(c.isalpha() for c in run) else 0.0
-    else:
-        most = min(ratio, CLEAR) if any(c.islower() for c in run) and any(c.isupper() for c in run) else 0.0
-    return most > 0 and len(run) < most * len(enc.encode_ordinary(run))
+    """The ratio alone decides; a run without letters is a number."""
+    return any(c.isalpha() for c in run) and len(run) < ratio * len(enc.encode_ordinary(run))
 
 
 def _parts(run: str, at: int, enc, ratio: float, known: frozenset[str]):
@@ -94,10 +92,14 @@ def _parts(run: str, at: int, enc, ratio: float, known: frozenset[str]):
 
 def random_spans(text: str, base: list[tuple[int, int, int]], enc, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
     """Runs and parts of runs that need many tokens for their length, outside the fixed patterns."""
-    found = []
+    found, spans, i, live = [], sorted((s, e) for s, _, e in base), 0, []
     for m in RUN.finditer(text):
         at, end = m.start(), m.end()
-        cuts = sorted((s, e) for s, _, e in base if s < end and at < e)
+        while i < len(spans) and spans[i][0] < end:
+            live.append(spans[i])
+            i += 1
+        live = [s for s in live if s[1] > at]  # of each kind at most one reaches into a later run
+        cuts = live[:]
         if cuts and _excluded(m[0], known):
             continue
         for s, e in [*cuts, (end, end)]:
