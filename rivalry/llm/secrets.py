@@ -36,8 +36,10 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"[_=/+-]*(?:[A-Z]?[a-z]{2,19}|[A-Z]{2,19}|[0-9]{1,4})(?:[_=/+-]+(?:[A-Z]?[a-z]{2,19}|[A-Z]{2,19}|[0-9]{1,4})|[A-Z][a-z]{2,19})*[_=/+-]*")
 #: Characters per token below which a run counts as random.
 RATIO = 2.0
-#: The same for letters alone, among which are words of languages that the vocabulary spells out, and the least length of a part.
-CLEAR, LEAST = 1.75, 20
+#: The same for letters of both cases and of one case alone, where words of languages that the vocabulary spells out lie (PRZEDSIEBIORSTWO... has 1.67).
+CLEAR, SINGLE = 1.75, 1.6
+#: The least length of a part.
+LEAST = 20
 #: Signs at which a run is cut, outermost first.
 SIGNS = "=/_-"
 
@@ -74,8 +76,9 @@ def _excluded(run: str, known: frozenset[str]) -> bool:
 
 def _random(run: str, enc, ratio: float) -> bool:
     """The ratio alone decides; a run without letters is a number."""
-    limit = ratio if any(c.isdigit() for c in run) else min(ratio, CLEAR)
-    return any(c.isalpha() for c in run) and len(run) < limit * len(enc.encode_ordinary(run))
+    small, large = any(c.islower() for c in run), any(c.isupper() for c in run)
+    limit = ratio if any(c.isdigit() for c in run) else min(ratio, CLEAR if small and large else SINGLE)
+    return (small or large) and len(run) < limit * len(enc.encode_ordinary(run))
 
 
 def _parts(run: str, at: int, enc, ratio: float, known: frozenset[str]):
