@@ -158,8 +158,8 @@ def team_state(history: DataFrame) -> DataFrame:
     )
 
 
-def head_to_head(maps: DataFrame, days: int = C.H2H_DAYS, targets: DataFrame | None = None) -> DataFrame:
-    """Wins of the lower and the higher id of each pair over the trailing window."""
+def _pair_days(maps: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row per pair and day: wins of the lower and of the higher id."""
     def pair(df: DataFrame, lo_won: Column, hi_won: Column) -> DataFrame:
         return df.select(F.least("team_a_id", "team_b_id").alias("lo"),
                          F.greatest("team_a_id", "team_b_id").alias("hi"),
@@ -172,9 +172,29 @@ def head_to_head(maps: DataFrame, days: int = C.H2H_DAYS, targets: DataFrame | N
     if targets is not None:
         rows = rows.unionByName(pair(targets, F.lit(0), F.lit(0)))
     daily = rows.groupBy("lo", "hi", "date").agg(F.sum("lo_won").alias("lo_won"), F.sum("hi_won").alias("hi_won"))
-    daily = daily.withColumn("day_no", F.unix_date("date"))
-    return daily.select("lo", "hi", "date",
-                        *[trailing(c, ["lo", "hi"], "day_no", days).alias(c) for c in ("lo_won", "hi_won")])
+    return daily.withColumn("day_no", F.unix_date("date"))
+
+
+def head_to_head(maps: DataFrame, days: int = C.H2H_DAYS, targets: DataFrame | None = None) -> DataFrame:
+    """Wins of the lower and the higher id of each pair over the trailing window."""
+    return _pair_days(maps, targets).select("lo", "hi", "date",
+                                            *[trailing(c, ["lo", "hi"], "day_no", days).alias(c) for c in ("lo_won", "hi_won")])
+
+
+def with_head_to_head(df: DataFrame, maps: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Adds ``h2h_a_wins_<days>d`` / ``h2h_b_wins_<days>d`` of several windows: one grouping, one window exchange and one join for all."""
+    sums = [trailing(c, ["lo", "hi"], "day_no", d).alias(f"{c}_{d}") for d in windows for c in ("lo_won", "hi_won")]
+    right = _pair_days(maps).select(F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.col("date").alias("h_day"), *sums)
+    j = df.join(right, (F.least("team_a_id", "team_b_id") == F.col("h_lo")) & (F.greatest("team_a_id", "team_b_id") == F.col("h_hi"))
+                & (F.to_date(df["date"]) == F.col("h_day")), "left")
+    a_is_lo = F.col("team_a_id") == F.col("h_lo")
+
+    def wins(side: str, d: int) -> Column:
+        lo, hi = F.col(f"lo_won_{d}"), F.col(f"hi_won_{d}")
+        mine = F.when(a_is_lo, lo).otherwise(hi) if side == "a" else F.when(a_is_lo, hi).otherwise(lo)
+        return F.coalesce(mine, F.lit(0)).cast("long").alias(f"h2h_{side}_wins_{d}d")
+
+    return j.select(*df.columns, *[wins(s, d) for d in windows for s in "ab"])
 
 
 def join_head_to_head(df: DataFrame, h2h: DataFrame, days: int) -> DataFrame:
@@ -288,9 +308,7 @@ def variant_frame(maps: DataFrame) -> DataFrame:
     keys = ["match_id", "map_name", "date", "team_a_id", "team_b_id"]
     sources = [f"team_{side}_{source}_rank{end}" for side in "ab" for source in R.SOURCES for end in ("", "_missing")]
     f = R.rank_strategy_features(R.rank_enrich(compute_features(maps), maps.select(*keys, *sources), keys)).drop(*sources)
-    for days in (14, 90):
-        f = join_head_to_head(f, head_to_head(maps, days), days)
-    return sample_depth_features(f)
+    return sample_depth_features(with_head_to_head(f, maps, (14, 90)))
 
 
 def latest_rank(maps: DataFrame, default: int = C.UNRANKED) -> DataFrame:

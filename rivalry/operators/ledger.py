@@ -148,9 +148,15 @@ def new_snapshots(predictions: DataFrame, known_matches: DataFrame, seen: str) -
 
 # ---- settlement -----------------------------------------------------------
 def index_by_url(corpus: DataFrame, order: str) -> DataFrame:
-    """Records keyed by normalised URL; the last one wins."""
+    """Records keyed by normalised URL; the last one wins.
+
+    Only the greatest ``order`` of each key is grouped; whole records are joined to it, and
+    one of those that share key and order is kept.
+    """
     keyed = corpus.where(X.text(F.col("url")) != "").withColumn("url_key", X.normalize_url(F.col("url")))
-    return last_row(keyed, ["url_key"], [order])
+    newest = keyed.groupBy("url_key").agg(F.max(order).alias("newest"))
+    same = keyed.join(newest, "url_key").where(F.col(order).eqNullSafe(F.col("newest"))).drop("newest")
+    return same.dropDuplicates(["url_key"]).select(*keyed.columns)
 
 
 def name_match(x: Column, y: Column) -> Column:

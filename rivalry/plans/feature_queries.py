@@ -100,9 +100,7 @@ def _h2h_sql(days: tuple[int, ...]) -> str:
 @query("W6_h2h", _h2h_sql((14, 30, 90)))
 def h2h(t):
     maps = t.view("maps")
-    out = maps.select("match_id", "map_pos", "team_a_id", "team_b_id", "date")
-    for days in (14, 30, 90):
-        out = X.join_head_to_head(out, X.head_to_head(maps, days), days)
+    out = X.with_head_to_head(maps.select("match_id", "map_pos", "team_a_id", "team_b_id", "date"), maps, (14, 30, 90))
     return out.drop("team_a_id", "team_b_id", "date")
 
 

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,9 +46,26 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+_RUNS: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name below the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/rivalry-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/rivalry-{uuid.uuid4().hex}"
+    if _RUNS:
+        _RUNS[-1].append(path)
+    return path
+
+
+@contextmanager
+def run_scope(spark: SparkSession):
+    """Deletes every folder stored inside the scope when it ends; write or collect results before that."""
+    _RUNS.append([])
+    try:
+        yield
+    finally:
+        for path in _RUNS.pop():
+            drop_folder(spark, path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> bool:

@@ -44,6 +44,7 @@ class KeyedTable:
 
     def create(self, df: DataFrame, tag: str = "create") -> None:
         if not self.manifests():
+            df.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")  # also an empty table keeps its columns
             self._write(df, tag, 0, {})
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ class KeyedTable:
         by_folder: dict[int, list[int]] = {}
         for b, v in held.items():
             by_folder.setdefault(v, []).append(b)
-        schema = self.spark.read.parquet(f"{self.path}/data/version={min(self.current().values())}").drop("bucket").schema
+        schema = self.spark.read.parquet(f"{self.path}/columns").schema
         if not by_folder:
             return self.spark.createDataFrame([], schema)
         parts = [self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/version={v}/bucket={b}" for b in sorted(bs)])
@@ -75,10 +76,7 @@ class KeyedTable:
         folder = f"{self.path}/data/version={version}"
         out = df.withColumn("bucket", self._bucket())
         out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        written = [r[0] for r in self.spark.read.parquet(folder).select("bucket").distinct().collect()]
-        if not written and not held:  # an empty table keeps its columns
-            df.limit(0).withColumn("bucket", F.lit(0)).write.mode("overwrite").parquet(folder)
-        named = held | {b: version for b in written}
-        rows = [(version, tag, b, v) for b, v in sorted(named.items())] or [(version, tag, 0, version)] * (not held)
+        written = [r[0] for r in self.spark.read.schema("bucket int").parquet(folder).distinct().collect()]  # at most `buckets` rows
+        rows = [(version, tag, b, v) for b, v in sorted((held | {b: version for b in written}).items())]
         commit = self.spark.createDataFrame(rows or [(version, tag, -1, version)], "version int, tag string, bucket int, folder int")
         commit.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{version:09d}")

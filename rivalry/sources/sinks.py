@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.operators.ordered import last_row
@@ -10,17 +10,33 @@ from rivalry.session import persist_table, shared_folder
 
 
 def write_clean(df: DataFrame, path: str | None, partition: bool = True) -> DataFrame:
-    """Writes rows partitioned by month of ``date`` and reads them back."""
+    """Writes rows partitioned by month of ``date`` and reads them back.
+
+    Rows are rebalanced by month: adaptive execution cuts a large month into files of its
+    advisory size and puts small ones together, whatever the table's size.
+    """
     target = path or shared_folder(df.sparkSession)
-    out = df
     if partition and "date" in df.columns:
-        out = df.withColumn("month", F.date_format("date", "yyyy-MM")).repartition("month", F.pmod(F.xxhash64("match_id"), F.lit(64)))
+        out = df.withColumn("month", F.date_format("date", "yyyy-MM")).hint("rebalance", "month")
         out.write.mode("overwrite").partitionBy("month").parquet(target)
     else:
-        out.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.parquet(target).select(*df.columns)
 
 
+def read_clean(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of ``since`` <= date < ``until`` (days); the bounds prune whole months of a partitioned table."""
+    df = spark.read.parquet(path)
+    day = F.to_date("date")
+    for bound, keep, months in ((since, lambda b: day >= b, lambda b: F.col("month") >= F.date_format(b, "yyyy-MM")),
+                                (until, lambda b: day < b, lambda b: F.col("month") <= F.date_format(b, "yyyy-MM"))):
+        if bound is not None:
+            b = F.lit(bound).cast("date")
+            df = df.where(keep(b))
+            df = df.where(months(b)) if "month" in df.columns else df
+    return df.drop("month")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

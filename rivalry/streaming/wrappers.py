@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.operators.ordered import last_row
-from rivalry.session import shared_folder
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
@@ -71,10 +70,6 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def new_run(spark: SparkSession) -> str:
-    return shared_folder(spark)
-
-
 def route_late(stream: DataFrame, path: str, time_col: str, delay: str) -> None:
     """Drains the source; rows behind the watermark go to a table of their own and are counted.
 
