@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["feature_queries", "clean_queries", "report_queries", "veto_queries", "model_queries", "experiment_queries", "stream_queries", "fit_queries", "profile_queries", "long_report_queries"]
+MODULES = ["feature_queries", "clean_queries", "report_queries", "veto_queries", "model_queries", "experiment_queries", "stream_queries", "fit_queries", "profile_queries", "long_report_queries", "path_queries"]
 
 
 def load_all() -> None:
