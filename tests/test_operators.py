@@ -269,3 +269,13 @@ def test_hints_reach_records_without_url(spark, monkeypatch):
     monkeypatch.setattr(V, "FEW_HINTS", 0)
     assert found() == few and len(few) == len(rows)
     assert [r for r in few if r[:2] == (None, "Cup")] == [(None, "Cup", "old")]
+
+
+def test_rows_of_a_fit_are_spread(spark):
+    """A small stored table is one task; every pass of a fit would wait for it."""
+    from rivalry.operators import models as ML
+    from rivalry.session import persist_table
+
+    stored = persist_table(spark.range(400).coalesce(1))
+    out = ML.spread(stored).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(out) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in out) == 400
