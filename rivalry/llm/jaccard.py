@@ -7,11 +7,14 @@ Documents with the same prefix and size form one group. Groups that share a pref
 are filtered as pairs by size and position; the members of the pairs left are filtered by a
 bitmap bound and verified on their whole sets.
 
-Links serve to find components, so a task does not emit all pairs of a crowd: the first
-round verifies a spanning forest of the candidates of each shingle, the second only pairs
-whose documents are still in different components. Both filters are bounds, so no link
-between different components is lost, whatever the order of the shingles. Shingles shared
-by many documents are cut into blocks that meet pairwise.
+Links serve to find components, so the documents of a crowded shingle do not all meet. They
+are first dealt into blocks, differently for each shingle, and a spanning forest of the
+candidates inside each block is verified. What is then in one component never meets again:
+two more rounds compare only documents of different components and of sizes that allow the
+similarity, first a forest, then all that are still apart. The largest component of a crowd
+is cut into blocks that meet the other documents only, so its rows are not copied for each
+other. All filters are bounds, so no link between different components is lost, whatever
+the order of the shingles.
 
 The order decides how many unrelated documents meet. A leading share of the shingles, chosen
 by hash and ``LEADING`` times as large as a prefix, is counted exactly and ordered by
@@ -27,6 +30,7 @@ give no rows; other columns are ignored. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -141,13 +145,13 @@ def _candidates(percent: int, all_pairs: bool):
     return run
 
 
-def _meet(shared: DataFrame, members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Candidate pairs of nodes. ``members`` holds node, cluster, grp, n, bits.
+def _meet(shared: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of nodes, and the groups of crowded shingles. ``members`` holds node, cluster, grp, n, bits.
 
     Shingles of at most ``FEW`` documents are joined as groups: pairs of groups are filtered by
     size, by the place of their first common shingle and by the number of common ones in
-    their prefixes, then expanded to members and filtered by the bitmap bound. The others
-    are met in blocks.
+    their prefixes, then expanded to members and filtered by the bitmap bound. Documents of
+    the others meet inside one block each; ``_apart`` finds what that leaves out.
     """
     sized = members.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("m"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
     at = shared.join(sized.drop("n"), "grp").select("shingle", "grp", "n", "pos", "m", "lo", "hi", F.lit(False).alias("inner"))
@@ -181,14 +185,48 @@ def _meet(shared: DataFrame, members: DataFrame, percent: int, all_pairs: bool)
     pairs = groups.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb AND (ga <> gb OR na < nb)").where(likely).select(
         F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
-    many = at.where(F.col("crowd") > FEW).select("shingle", "inner", "grp", "pos", "crowd").join(members, "grp")
-    many = many.withColumn("blocks", F.ceil(F.col("crowd") / BLOCK).cast("int"))
-    many = many.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    many = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.select("shingle", F.least("side", "other").alias("l"), F.greatest("side", "other").alias("r"), "inner",
+    crowded = at.where(F.col("crowd") > FEW).select("shingle", "inner", "grp", "n", "pos", "crowd")
+    many = crowded.drop("n").join(members, "grp")
+    block = F.pmod(F.xxhash64("shingle", "node"), F.ceil(F.col("crowd") / BLOCK)).cast("int")
+    many = many.select("shingle", block.alias("l"), block.alias("r"), "inner", block.alias("side"), "node", "cluster", "grp", "n", "pos", "bits")
+    crowd = many.groupBy("shingle", "l", "r", "inner").applyInArrow(_candidates(percent, False), "a long, b long")
+    return pairs.unionByName(crowd).where("a <> b").distinct(), crowded
+
+
+def _apart(crowded: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Documents of crowded shingles dealt so that those of different clusters and near sizes meet.
+
+    Sizes are cut into classes as wide as the similarity allows, so similar documents are in
+    the same or in adjacent classes; a zone holds two of them. In a zone the largest cluster
+    is cut into blocks, the rest too, and blocks of the rest meet all blocks.
+    """
+    size = F.col("n") if percent >= 100 else F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))  # a hair wider: no rounding can part them
+    size = size.cast("int").alias("size")
+    held = members.groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("m"))
+    held = crowded.join(held, "grp").groupBy("shingle", "inner", size, "cluster").agg(F.sum("m").alias("m"))
+    mixed = held.groupBy("shingle", "inner").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least <> most")
+    held = held.join(mixed.select("shingle", "inner"), ["shingle", "inner"], "left_semi")
+    held = held.select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("zone"))
+    held = held.groupBy("shingle", "inner", "zone", "cluster").agg(F.sum("m").alias("m"), F.max("size").alias("size"))
+    zones = held.groupBy("shingle", "inner", "zone").agg(F.count(F.lit(1)).alias("clusters"), F.max("size").alias("size"), F.sum("m").alias("all"),
+                                                         F.max("m").alias("largest"), F.max_by("cluster", F.struct("m", "cluster")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    zones = persist_table(zones.where("clusters > 1 AND size = zone").select(
+        "shingle", "inner", "zone", "top", blocks(F.col("largest")).alias("tops"), blocks(F.col("all") - F.col("largest")).alias("rests"),
+        F.explode(F.array(F.col("zone"), F.col("zone") - 1)).alias("size")))
+    rows = crowded.drop("crowd").withColumn("size", size).join(zones, ["shingle", "inner", "size"]).drop("n", "size").join(members, "grp")
+    is_top = F.col("cluster") == F.col("top")
+    side = F.when(is_top, F.col("rests") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rests")))
+    others = F.sequence(F.lit(0), F.when(is_top, F.col("rests") - 1).otherwise(F.col("rests") + F.col("tops") - 1))
+    rows = rows.select("*", side.cast("int").alias("side"), F.explode(others).alias("other"))
+    return rows.select("shingle", "zone", F.least("side", "other").alias("l"), F.greatest("side", "other").alias("r"), "inner",
                        "side", "node", "cluster", "grp", "n", "pos", "bits")
-    crowd = many.groupBy("shingle", "l", "r", "inner").applyInArrow(_candidates(percent, all_pairs), "a long, b long")
-    return pairs.unionByName(crowd).where("a <> b").distinct()
+
+
+def _meet_apart(crowded: DataFrame, members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Candidate pairs of crowded shingles between different clusters."""
+    met = _apart(crowded, members, percent).groupBy("shingle", "l", "r", "inner", "zone").applyInArrow(_candidates(percent, all_pairs), "a long, b long")
+    return met.where("a <> b").distinct()
 
 
 def _verify(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -233,11 +271,12 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     placed = prefixes(heads, percent)
     shared = placed.select("grp", "n", F.inline("found")).select("shingle", "grp", "n", "pos").distinct()
     members = placed.select("node", F.col("node").alias("cluster"), "grp", "n", "bits")
-    links = _verify(source, _meet(shared, members, percent, False), k, percent)
-    found = components(links)
-    named = placed.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "grp", "n", "bits")
-    more = _verify(source, _meet(shared, named, percent, True), k, percent)
+    pairs, crowded = _meet(shared, members, percent)
+    links = _verify(source, pairs, k, percent)
+    for all_pairs in (False, True):
+        named = placed.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "grp", "n", "bits")
+        links = links.unionByName(_verify(source, _meet_apart(crowded, named, percent, all_pairs), k, percent))
     copies = usable.join(classes, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    final = components(links.unionByName(more).unionByName(copies))
+    final = components(links.unionByName(copies))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

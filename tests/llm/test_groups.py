@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from rivalry.llm import bloom, caps, graph, jaccard, mixing, packing, repeats
 from rivalry.llm.tokens import PieceEncoder, vocabulary
 
@@ -145,6 +147,25 @@ def test_jaccard(spark, monkeypatch, k, percent, few):
     assert jaccard.similar_documents(frame(spark, rows).where("false"), k, percent).count() == 0
 
 
+@pytest.mark.parametrize("outliers", [1, 20])
+def test_jaccard_crowd_rows(spark, monkeypatch, outliers):
+    """A crowd of one component and a few others is copied for the others only."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    n = 800
+    node = F.col("id")
+    members = spark.range(n + outliers).select(node.alias("node"), F.when(node < n, 0).otherwise(node).alias("cluster"), node.alias("grp"), F.lit(50).cast("long").alias("n"),
+                                               F.array(*[F.lit(0).cast("long")] * 16).alias("bits"))
+    crowded = members.select(F.lit(7).cast("long").alias("shingle"), F.lit(False).alias("inner"), "grp", "n", F.lit(0).alias("pos"), F.lit(n + outliers).cast("long").alias("crowd"))
+    dealt = jaccard._apart(crowded, members, 90).collect()
+    blocks = -(-outliers // 8)
+    assert len(dealt) == n * blocks + outliers * (blocks + n // 8)
+    seen = {(r.l, r.r): set() for r in dealt}
+    for r in dealt:
+        seen[r.l, r.r].add(r.node)
+    for odd in range(n, n + outliers):
+        assert set().union(*[s for s in seen.values() if odd in s]) == set(range(n + outliers))
+
+
 def brute_repeats(rows, length):
     texts = [(t or "").encode() for _, t, *_ in rows]
     count = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
