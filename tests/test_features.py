@@ -174,3 +174,21 @@ def test_experiment_runs_differ_by_seed(spark):
     out = EX.experiment_run(folded, {"both": ["x_diff", "z_diff"]}, (1, 2), ["date", "match_id"], [0.9, 1.0], max_iter=10).collect()
     assert sorted((r["variant"], r["fold"], r["seed"]) for r in out) == [("both", "fold_1", 1), ("both", "fold_1", 2)]
     assert out[0]["log_loss"] != out[1]["log_loss"]
+
+
+def test_feature_joins_move_narrow_rows_first(spark):
+    """Wins against each other and ranks are joined before the state of both sides widens the rows."""
+    maps = spark.createDataFrame(GOLDEN, SCHEMA)
+    joined = X.compute_features(maps)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in joined.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 3 and "h_lo" not in joins[0] and "h_lo" not in joins[1] and "lo#" in joins[2] and "map_name" not in "".join(joins)
+
+
+def test_row_without_map_or_side_has_no_state(spark):
+    rows = spark.createDataFrame(GOLDEN, SCHEMA).withColumn("map_name", F.when(F.col("map_pos") > 1, F.col("map_name")))
+    side = X._join_side(rows.withColumn("day", F.to_date("date")), X._by_day(X.team_state(X.daily_history(rows))), "a")
+    plain = X.team_state(X.daily_history(rows)).select(F.col("team").alias("team_a_id"), "map_name", F.col("date").alias("day"), "form_90", "map_form", "comfort", "streak")
+    want = rows.withColumn("day", F.to_date("date")).join(plain, ["team_a_id", "map_name", "day"], "left")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, want.select("match_id", "map_pos", "form_90", "map_form", "comfort", "streak").collect()), key=key) == sorted(
+        map(tuple, side.select("match_id", "map_pos", "a_form_90", "a_map_form", "a_comfort", "a_streak").collect()), key=key)

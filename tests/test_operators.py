@@ -279,3 +279,21 @@ def test_rows_of_a_fit_are_spread(spark):
     stored = persist_table(spark.range(400).coalesce(1))
     out = ML.spread(stored).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(out) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in out) == 400
+
+
+def test_temporal_split_repeated_and_null_keys(spark):
+    """Only keys are ordered and rows are not joined to their places; repeated keys share one, rows without keys have none."""
+    days = [None, *[dt.date(2024, 1, 1 + i % 9) for i in range(40)], None]
+    rows = [(None if i == 7 else f"m{i % 13}", d, i) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "match_id string, date date, v int")
+    d = E.temporal_split(df, ["date", "match_id"], 0.5, 0.2)
+    low = lambda r: tuple((x is not None, x) if x is not None else (False, "") for x in (r[1], r[0]))
+    order = [low(r) for r in rows]
+    want = set()
+    for r in rows:
+        if r[0] is not None and r[1] is not None:
+            at = sum(o < low(r) for o in order)
+            want.add((r[2], "train" if at < int(42 * 0.5) else "validation" if at < int(42 * 0.7) else "test"))
+    assert {(r.v, r.split) for r in d.collect()} == want and d.columns == ["date", "match_id", "v", "split"]
+    assert " Join Inner, (" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert E.temporal_split(df.where("false"), ["date", "match_id"]).count() == 0
