@@ -297,3 +297,23 @@ def test_temporal_split_repeated_and_null_keys(spark):
     assert {(r.v, r.split) for r in d.collect()} == want and d.columns == ["date", "match_id", "v", "split"]
     assert " Join Inner, (" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert E.temporal_split(df.where("false"), ["date", "match_id"]).count() == 0
+
+
+def test_parsed_rows_are_read_once(spark):
+    """Flagging a series and ordering rows read stored rows; the parsing behind them runs in one pass."""
+    from rivalry.operators import clean as K
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    def parse(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    rows = [("m1", 1, "A", "B", "bo3", False), ("m1", 2, "A", "B", "bo3", True), ("m2", 1, "A", "C", "def", False), ("m3", 1, "B", "C", "bo1", False)]
+    schema = "match_id string, map_pos int, team_a_id string, team_b_id string, match_format string, is_forfeit boolean"
+    raw = spark.createDataFrame(rows, schema).mapInArrow(parse, schema)
+    out = K.forfeit_exclusion(raw).select("match_id", "map_pos", "match_has_forfeit").collect()
+    assert sorted(map(tuple, out)) == [("m1", 1, True), ("m3", 1, False)] and parsed.value == 4
+    ordered = K.sorted_maps(raw.withColumn("date", F.lit("2024-01-01"))).select("match_id", "map_pos").collect()
+    assert list(map(tuple, ordered)) == [r[:2] for r in rows] and parsed.value == 8
