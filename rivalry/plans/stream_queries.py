@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rivalry.operators import ledger as L
 from rivalry.plans.registry import Tables, corpus, over, query
 from rivalry.plans.report_queries import _AS_OF, _snaps, ledger_for_corpus, settled_sql
-from rivalry.session import persist_table, shared_folder
+from rivalry.session import shared_folder
 from rivalry.sources.keyed import KeyedTable
 from rivalry.streaming import wrappers as ST
 
@@ -103,8 +103,11 @@ def settle_ledger(t):
         after = L.settle_pending(pending, snapshots, batch, _AS_OF)[0]
         return after.where(F.col("result") != "Pending")
 
-    records = persist_table(corpus(t))
-    parts = [records.where(F.pmod(F.xxhash64("match_key"), F.lit(5)) == i) for i in range(5)]
+    dealt, records = shared_folder(spark), corpus(t)  # written once by arrival, so that each arrival reads its own part alone
+    arrivals = records.withColumn("arrival", F.pmod(F.xxhash64("match_key"), F.lit(5)).cast("int"))
+    arrivals.write.partitionBy("arrival").parquet(dealt)
+    arrivals = spark.read.schema(arrivals.schema).parquet(dealt)
+    parts = [arrivals.where(F.col("arrival") == i).drop("arrival") for i in range(5)]
     for i, part in enumerate(parts):
         part.write.mode("append").parquet(source)
         handle = ST.settle_stream(spark.readStream.schema(records.schema).parquet(source), path, table, settle)

@@ -45,7 +45,7 @@ class KeyedTable:
     def create(self, df: DataFrame, tag: str = "create") -> None:
         if not self.manifests():
             df.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")  # also an empty table keeps its columns
-            self._write(df, tag, 0, {})
+            self._write(self._numbered(df).repartition("bucket"), tag, 0, {})
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         """All rows, or those of some buckets."""
@@ -67,15 +67,19 @@ class KeyedTable:
             return []
         incoming = persist_table(incoming)  # read for its buckets and again for the merge
         touched = [r[0] for r in incoming.select(self._bucket()).distinct().collect()]  # at most `buckets` rows
-        merged = merge_records(self.read(touched), incoming, self.keys, order)
+        # the rows are dealt out by bucket once: merging by (bucket, key) and writing both read that exchange
+        old, new = (self._numbered(d) for d in (self.read(touched), incoming))
+        merged = merge_records(old, new, ["bucket", *self.keys], order, deal="bucket")
         self._write(merged, tag, max(r["version"] for r in rows) + 1, self.current(rows))
         return sorted(touched)
 
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", self._bucket())
+
     def _write(self, df: DataFrame, tag: str, version: int, held: dict[int, int]) -> None:
-        """Data first, then the manifest; both are overwritten when a failed attempt is repeated."""
+        """``df`` is dealt out by bucket. Data first, then the manifest; both are overwritten when a failed attempt is repeated."""
         folder = f"{self.path}/data/version={version}"
-        out = df.withColumn("bucket", self._bucket())
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        df.write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = [r[0] for r in self.spark.read.schema("bucket int").parquet(folder).distinct().collect()]  # at most `buckets` rows
         rows = [(version, tag, b, v) for b, v in sorted((held | {b: version for b in written}).items())]
         commit = self.spark.createDataFrame(rows or [(version, tag, -1, version)], "version int, tag string, bucket int, folder int")

@@ -56,14 +56,17 @@ def write_metrics_json(df: DataFrame, path: str) -> None:
     finite(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def merge_records(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def merge_records(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None,
+                  deal: str | None = None) -> DataFrame:
     """Stored rows replaced by incoming rows of the same key, new keys appended.
 
-    Two rows per key at most survive map-side combining; the last incoming one wins.
+    Two rows per key at most survive map-side combining; the last incoming one wins. Rows
+    that are dealt out by ``deal``, one of the keys, stay where they are afterwards.
     """
     seq = F.col(order) if order else F.lit(0)
     both = (stored.withColumn("is_new", F.lit(0)).withColumn("seq", F.lit(None).cast("long"))
             .unionByName(incoming.withColumn("is_new", F.lit(1)).withColumn("seq", seq.cast("long")), allowMissingColumns=True))
+    both = both.repartition(deal) if deal else both
     return last_row(both, keys, ["is_new", "seq"]).drop("is_new", "seq")
 
 

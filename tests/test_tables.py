@@ -37,6 +37,34 @@ def test_merge_rewrites_touched_buckets_only(spark):
     assert empty.read().count() == 2
 
 
+def test_a_merge_moves_its_rows_once(spark, monkeypatch):
+    table = KeyedTable(spark, shared_folder(spark), ["k"], buckets=16)
+    table.create(spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    write, plans = table._write, []
+    monkeypatch.setattr(table, "_write", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest)))
+    table.merge(spark.range(0, 1000, 10).select(F.col("id").alias("k"), F.lit("new").alias("v")), "one")
+    assert plans[0].count("Exchange hashpartitioning") == 1  # merging and writing by bucket read the same exchange
+    assert table.read().where(F.col("v") == "new").count() == 100 and table.read().count() == 1000
+
+
+def test_arrivals_of_the_ledger_stream_read_their_own_part(spark, monkeypatch):
+    from rivalry.plans import stream_queries as SQ
+    from rivalry.plans.registry import Tables
+
+    parts = []
+    rows = spark.range(50).select(F.col("id").alias("match_key"), F.lit("x").alias("url"))
+    ledger = spark.createDataFrame([("x", "Pending")], "match_url string, result string")
+    monkeypatch.setattr(SQ, "corpus", lambda t: rows)
+    monkeypatch.setattr(SQ, "ledger_for_corpus", lambda t: ledger)
+    monkeypatch.setattr(SQ, "_snaps", lambda t: ledger)
+    monkeypatch.setattr(SQ.ST, "settle_stream", lambda *a: lambda part, i: parts.append(part) or [])
+    assert SQ.settle_ledger(Tables(spark, "/none")).count() == 1
+    assert [p.columns for p in parts] == [rows.columns] * 2
+    assert all({r.match_key for r in p.collect()} == {r.match_key for r in rows.where(F.pmod(F.xxhash64("match_key"), F.lit(5)) == i).collect()}
+               for p, i in zip(parts, (1, 4)))
+    assert all("PartitionFilters: [isnotnull(arrival" in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+
+
 def test_clean_files_and_pruning(spark):
     days = spark.range(900).select((F.col("id") % 90).cast("int").alias("n"), F.col("id").alias("match_id"))
     df = days.select("match_id", F.date_add(F.lit("2024-01-10").cast("date"), F.col("n")).alias("date"))
