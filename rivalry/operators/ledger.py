@@ -165,23 +165,33 @@ def name_match(x: Column, y: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def record_outcome() -> tuple[Column, Column]:
-    """From a record's own row: what settles it whatever the sides (forfeit, cancelled), and the majority winner's name."""
+def outcome_parts() -> dict[str, Column]:
+    """From a record's own row: what settles it whatever the sides, both sides' map wins and the format."""
     info, fmt = F.lower(F.concat_ws(" ", "match_info")), F.lower(X.text(F.col("format")))
     default_map = F.coalesce(F.exists("hltv_maps", lambda m: F.lower(X.text(m["map_name"])).isin("default", "forfeit")), F.lit(False))
     is_forfeit = info.rlike("forfeit|walkover|withdraw") | fmt.contains("def") | default_map
 
     def side_wins(first: bool) -> Column:
         def won(m: Column) -> Column:
-            s1, s2 = (X.strip(m[c]).try_cast("int") for c in ("team1_score", "team2_score"))
+            # an unplayed map's dash is no number; said here, because a cast that fails is slow
+            s1, s2 = (F.nullif(X.strip(m[c]), F.lit("-")).try_cast("int") for c in ("team1_score", "team2_score"))
             return F.coalesce((s1 > s2) if first else (s2 > s1), F.lit(False))
         return F.size(F.filter("hltv_maps", won))
 
-    w1, w2 = side_wins(True), side_wins(False)
-    need = X.required_wins(F.col("format"), F.col("match_info"))
+    return {"fixed": F.when(is_forfeit, "forfeit").when(info.contains("cancel"), "cancelled"),
+            "wins_1": side_wins(True), "wins_2": side_wins(False), "need": X.required_wins(F.col("format"), F.col("match_info"))}
+
+
+def majority_winner(w1: Column, w2: Column, need: Column) -> Column:
+    """Name of the side with more maps, NULL while neither has enough of them."""
     leader = F.when(w1 > w2, F.col("team1")).otherwise(F.col("team2"))
-    return (F.when(is_forfeit, "forfeit").when(info.contains("cancel"), "cancelled"),
-            F.when(need.isNull() | ((w1 < need) & (w2 < need)), None).otherwise(F.coalesce(leader, F.lit(""))))
+    return F.when(need.isNull() | ((w1 < need) & (w2 < need)), None).otherwise(F.coalesce(leader, F.lit("")))
+
+
+def record_outcome() -> tuple[Column, Column]:
+    """From a record's own row: what settles it whatever the sides (forfeit, cancelled), and the majority winner's name."""
+    fixed, *rest = outcome_parts().values()
+    return fixed, majority_winner(*rest)
 
 
 def to_side(name: Column, team_a: Column, team_b: Column) -> Column:
@@ -217,16 +227,16 @@ def settle_join(matches: DataFrame, corpus: DataFrame, order: str = "match_key")
     columns are grouped and joined. Where the ledger rows are few, records are first
     filtered by their keys; the check of that size costs one count of the ledger rows.
     """
-    from rivalry.operators.clean import roster_size_reason, with_roster_flags
+    from rivalry.operators.clean import roster_size_reason, with_roster_status
 
     left = matches.withColumn("url_key", X.normalize_url(F.col("match_url").cast("string")))
     keyed = corpus.withColumn("url_key", X.normalize_url(F.col("url")))
     if left.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
         keyed = keyed.join(F.broadcast(left.select("url_key")), "url_key", "left_semi")
-    recs = with_roster_flags(keyed)
-    fixed, leader = record_outcome()
-    recs = X.settle(recs, size_reason=roster_size_reason(F.col("hltv_maps")), fixed=fixed, leader=leader)
-    recs = recs.select("url_key", F.col(order).alias("seq"), "team1", "team2", "fixed", "leader",
+    recs = with_roster_status(keyed)
+    recs = X.settle(recs, size_reason=roster_size_reason(F.col("hltv_maps")), **outcome_parts())
+    leader = majority_winner(F.col("wins_1"), F.col("wins_2"), F.col("need"))
+    recs = recs.select("url_key", F.col(order).alias("seq"), "team1", "team2", "fixed", leader.alias("leader"),
                        eval_reason(F.col("roster_status"), F.col("size_reason")).alias("eval_reason"))
     j = left.join(last_row(recs, ["url_key"], ["seq"]), "url_key", "left")
     a, b, found = F.col("team_a"), F.col("team_b"), F.col("team1").isNotNull()

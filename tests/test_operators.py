@@ -241,6 +241,30 @@ def test_settlement_shuffles_short_columns_only(spark):
             assert "hltv_maps" not in head and "player_stats" not in head
 
 
+def test_settlement_works_out_the_status_alone(spark):
+    from rivalry.operators import clean as K
+
+    lines = [None, [], ["X used substitute Neo (coach) due to visa issues"], ["Y used a stand-in during map 2"], ["old side withdrawn, replaced by academy"],
+             ["  ", None, "X used a stand-in"], ["Best of 3"]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "match_key long, match_info array<string>")
+    want = {r.match_key: r.roster_status for r in K.with_roster_flags(df).collect()}
+    assert {r.match_key: r.roster_status for r in K.with_roster_status(df).collect()} == want
+    assert set(want.values()) == {"standard", "coach_standin", "mid_map_substitution", "team_replacement", "substitution"}
+
+    nested = "url string, match_key long, format string, team1 string, team2 string, match_info array<string>, " \
+             "hltv_maps array<struct<map_name: string, team1_score: string, team2_score: string, player_stats: array<struct<player: string>>>>"
+    eleven, five = ([{"player": f"P{i}"} for i in range(n)] for n in (11, 5))
+    one = lambda a, b, p: {"map_name": "m", "team1_score": a, "team2_score": b, "player_stats": p}
+    rows = [("/matches/1", 1, "bo3", "X", "Y", [], [one("-", "-", None), one("16", "2", five), one(" 16 ", "x", five), one("13", "2", [])]),
+            ("/matches/2", 2, "bo1", "X", "Y", [], [None, one("2", "16", eleven)])]
+    ledger = spark.createDataFrame([(f"/matches/{i}", "X", "Y") for i in (1, 2)], "match_url string, team_a string, team_b string")
+    out = L.settle_join(ledger, spark.createDataFrame(rows, nested))
+    assert {r.match_url: (r.resolved, r.eval_reason) for r in out.collect()} == {
+        "/matches/1": ("team_a", None), "/matches/2": ("team_b", "non-standard roster: 11 players recorded on m")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "substitution_reason_terms" not in plan and "has_map_specific_sub" not in plan
+
+
 def test_ranges_follow_the_row_count(spark):
     from rivalry.operators.ordered import in_ranges, prefix_sums
 
