@@ -407,7 +407,7 @@ _NORM = "list_filter(list_transform(string_split(coalesce(s.eval_exclusion_reaso
     SELECT id, CASE WHEN coalesce(change_reason, eval_reason) IS NOT NULL THEN 0 ELSE valid_for_eval END AS valid_for_eval,
       CASE WHEN coalesce(change_reason, eval_reason) IS NOT NULL THEN array_to_string(list_concat(list_filter([eval_reason, change_reason], lambda x: x IS NOT NULL AND NOT list_contains(parts, x)), parts), '; ') ELSE old_reason END AS eval_exclusion_reason FROM p"""))
 def exclusion_reasons(t):
-    j = L.settle_join(ledger_for_corpus(t).select("match_url", "team_a", "team_b"), corpus(t))
+    j = L.settle_join(ledger_for_corpus(t).select("match_url", "team_a", "team_b"), corpus(t, without=("hltv_vetoes",)))
     return L.mark_excluded(_snaps(t), j).select("id", "valid_for_eval", "eval_exclusion_reason")
 
 

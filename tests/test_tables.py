@@ -65,6 +65,20 @@ def test_arrivals_of_the_ledger_stream_read_their_own_part(spark, monkeypatch):
     assert all("PartitionFilters: [isnotnull(arrival" in p._jdf.queryExecution().executedPlan().toString() for p in parts)
 
 
+def test_nested_columns_nobody_reads_are_not_built(spark):
+    from rivalry.plans.registry import corpus
+
+    rows = spark.range(3).select(F.col("id").alias("match_key"), F.lit("x").alias("url"), F.array(F.lit("line")).alias("match_info"),
+                                 F.array(F.concat(F.lit("veto "), F.col("id").cast("string"))).alias("hltv_vetoes"), F.array(F.lit("map")).alias("hltv_maps"),
+                                 F.array(F.struct(F.lit("a").alias("team"), F.lit("#1").alias("world_rank"), F.lit("#2").alias("vrs_before_rank"))).alias("ranks"))
+    t = type("T", (), {"view": lambda self, name: rows})()
+    whole, part = corpus(t), corpus(t, without=("hltv_vetoes",))
+    assert part.columns == [c for c in whole.columns if c != "hltv_vetoes"]
+    assert part.collect() == whole.drop("hltv_vetoes").collect()
+    assert "veto " in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "veto " not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clean_files_and_pruning(spark):
     days = spark.range(900).select((F.col("id") % 90).cast("int").alias("n"), F.col("id").alias("match_id"))
     df = days.select("match_id", F.date_add(F.lit("2024-01-10").cast("date"), F.col("n")).alias("date"))
