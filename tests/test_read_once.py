@@ -37,3 +37,27 @@ def test_unread_players_and_columns_are_left_out(spark, tables):
     eras = V.era_frame(spark, VQ.ERAS)
     named = lambda without: V.resolve_eras(VQ.veto_corpus(tables, without), eras, ["url"]).select("url", "era.name")
     assert same(named(VQ.NOT_ERA), named(()))
+
+
+def test_maps_are_read_once_for_team_stats(spark):
+    read = spark.sparkContext.accumulator(0)
+    day = dt.date(2000, 6, 1)
+    rows = [(i, day, i % 3, 3 + i % 2, "bo3", ["Mirage", "Nuke"][i % 2], i % 3, True, False) for i in range(40)]
+    maps = spark.createDataFrame(rows, "match_id long, date date, team_a_id long, team_b_id long, match_format string, map_name string, winner_id long, team_a_picked boolean, team_b_picked boolean")
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays(b.columns, names=b.schema.names)
+
+    got = V.team_map_stats(maps.mapInArrow(counted, maps.schema), "2000-06-30").where("sample > 0").select("team", "sample", "total_series").collect()
+    assert read.value == 40 and sum(r["sample"] for r in got) == 80
+
+
+def test_stats_are_worked_out_once_for_series_over_paths(tables, monkeypatch):
+    calls = []
+    stats = tables.local([(f"{s} {k}", m, 0.5, 0.2) for s in ("TEAM", "SQUAD") for k in range(3) for m in ("Mirage", "Nuke")], "team string, map_name string, win_rate double, pick_rate double")
+    pairs = tables.local([("TEAM 0", "SQUAD 1", "bo1")], "team_a string, team_b string, match_format string")
+    monkeypatch.setattr(MQ, "named_stats", lambda t: calls.append(1) or stats)
+    monkeypatch.setattr(MQ, "matchups", lambda t: pairs)
+    assert QUERIES["M7_series_over_paths"](tables.spark, tables.folder).count() == 1 and len(calls) == 1
