@@ -61,3 +61,18 @@ def test_stats_are_worked_out_once_for_series_over_paths(tables, monkeypatch):
     monkeypatch.setattr(MQ, "named_stats", lambda t: calls.append(1) or stats)
     monkeypatch.setattr(MQ, "matchups", lambda t: pairs)
     assert QUERIES["M7_series_over_paths"](tables.spark, tables.folder).count() == 1 and len(calls) == 1
+
+
+def test_grid_prepares_vectors_once(spark, monkeypatch):
+    rows = [(float(i % 17), "abc"[i % 3], int(i % 17 + (i * 7) % 11 > 12)) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, k string, y int")
+    train, val = df.where("x < 14"), df.where("x >= 5")
+    scale = ML.fit_scale(train, ["x"])
+    tr, va = ML.standardise(train, scale, ["x"]), ML.standardise(val, scale, ["x"])
+    plain = ML.logistic_pipeline(["x"], ["k"], 0.3, train.count(), "y").fit(tr)
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    model, losses = ML.fit_logistic_grid(train, val, ["x"], ["k"], "y", (0.3, 1e-6))
+    assert len(fits) == 1 and losses[0.3] < losses[1e-6]
+    a, b = (sorted(r["p"] for r in ML.score_frame(m, va).select("p").collect()) for m in (plain, model))
+    assert a == pytest.approx(b, abs=1e-9)
