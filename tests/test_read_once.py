@@ -76,3 +76,14 @@ def test_grid_prepares_vectors_once(spark, monkeypatch):
     assert len(fits) == 1 and losses[0.3] < losses[1e-6]
     a, b = (sorted(r["p"] for r in ML.score_frame(m, va).select("p").collect()) for m in (plain, model))
     assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_written_matches_are_compressed(tables, monkeypatch):
+    seen = []
+    read = MQ.RD.read_matches
+    monkeypatch.setattr(MQ.RD, "read_matches", lambda spark, path, *a: seen.append(path) or read(spark, path, *a))
+    got = QUERIES["SRC1_read_matches"](tables.spark, tables.folder).collect()
+    c = corpus(tables).select("url", "event", F.size("hltv_maps").cast("long"), F.size("match_info").cast("long")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, c)) and len(got) == 200
+    parts = [f for f in os.listdir(seen[0]) if f.startswith("part-")]
+    assert parts and all(f.endswith(".json.lz4") for f in parts)
