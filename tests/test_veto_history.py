@@ -82,6 +82,40 @@ def test_a_match_is_few_history_rows(spark):
     assert per <= 2 * (6 + 1) + 3 * 2 * len(POOL)
 
 
+def test_maps_share_history_rows(spark):
+    """A row per team, per team and group of slots, and per group of slots; a row per map of the pool was some 40."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([r for r in _matches(40, 5) if r[2] == "bo3"], SCHEMA).withColumn("range_no", F.lit(0))
+    assert V.history_rows(df).groupBy("match_id").count().agg(F.max("count")).first()[0] <= 2 + 2 * 2 + 2
+
+
+def test_signals_of_crowds_many_maps_and_repeated_matches(spark, monkeypatch):
+    """Teams of many matches, days of many matches, maps beyond one row, and matches that come twice."""
+    rows = _matches(60, 4)
+    rows += rows[:7]
+    want = {(r[0], *k): v for r in rows for k, v in _expected(rows, r, 20).items()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name, value in (("CROWD", 44), ("MAPS", 3), ("ROWS_PER_RANGE", 2)):
+        monkeypatch.setattr(V, name, value)
+        got = V.ban_signals(V.with_history(df, 20)).selectExpr("match_id", "team_id", "team_ban_index", "pool", "prior_team_bans", "inline(signals)").collect()
+        assert len(got) == sum(len(x[6]) for r in rows for x in r[7] if x[1] == "ban")
+        for r in got:
+            here = (r["prior_team_bans"], r["slot"], r["eventual"], r["global"], r["own_play_rate"], r["own_pick_rate"], r["threat"], r["raw_first_slot_sample"], r["opponent_raw_first_slot_sample"])
+            assert all(abs(a - b) < 1e-12 for a, b in zip(here, want[r["match_id"], r["team_id"], r["team_ban_index"], r["map_name"]]))
+    assert V.map_places(df).parts == 2
+
+
+def test_pools_come_back_as_they_were(spark):
+    """Pools before an action travel as places where they can; a map outside the match's pool, or none, stays."""
+    rows = [list(r) for r in _matches(6, 3)]
+    rows[0][7] = [(*a[:6], ["Elsewhere", "Dust2"]) for a in rows[0][7]]
+    rows[1][7] = [(*a[:6], None) for a in rows[1][7]]
+    rows[2][6], rows[3][7] = None, None
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    assert sorted(map(repr, V._full(V._slim(df)).select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+
+
 def test_counts_read_one_exchange(spark):
     """Whole days, ranges and single ids are summed from one exchange of the rows."""
     e = spark.range(100).selectExpr("CAST(id % 3 AS STRING) AS key", "DATE'2024-01-01' + CAST(id % 9 AS INT) AS date", "CAST(id AS STRING) AS match_id", "1 AS n", "CAST(id % 4 AS INT) AS range_no")
