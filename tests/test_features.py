@@ -192,3 +192,47 @@ def test_row_without_map_or_side_has_no_state(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, want.select("match_id", "map_pos", "form_90", "map_form", "comfort", "streak").collect()), key=key) == sorted(
         map(tuple, side.select("match_id", "map_pos", "a_form_90", "a_map_form", "a_comfort", "a_streak").collect()), key=key)
+
+
+def _odd_maps(spark):
+    rng = random.Random(8)
+    teams = ["A", "B", "C", "D", None]
+    rows = []
+    for i in range(150):
+        a, b = rng.choice(teams), rng.choice(teams)
+        day = None if i % 17 == 0 else D0 + dt.timedelta(days=rng.randint(0, 60))
+        rows.append((f"m{i // 2}", i % 2, rng.choice(["nuke", "mirage", None]), day, a, b, rng.choice([13, 7, None]), rng.choice([5, 16]), rng.choice([a, b, None]),
+                     rng.choice([True, False, None]), rng.choice([True, False]), rng.choice([3, 90, None]), 40, rng.choice([True, None]), i % 9 == 0))
+    return spark.createDataFrame(rows + rows[:9], SCHEMA)
+
+
+def test_teams_of_many_rows_have_the_same_state(spark, monkeypatch):
+    """Teams beyond ``CROWD`` are summed by day first; rounded, as sums of logarithms depend on their order."""
+    maps = _odd_maps(spark)
+    def rows():
+        days = X._days(maps, maps.limit(5)).withColumn("maps", F.array_sort("maps"))
+        return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in days.collect())
+    light = rows()
+    plain = X._by_day(X.team_state(X.daily_history(maps, maps.limit(5)))).withColumn("maps", F.array_sort("maps"))
+    assert light == sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in plain.collect())
+    monkeypatch.setattr(X, "CROWD", 55)
+    busy = maps.select(F.explode(F.array("team_a_id", "team_b_id")).alias("t")).groupBy("t").count().where("t IS NOT NULL AND count > 55").count()
+    assert 0 < busy < 4 and rows() == light
+
+
+def test_history_is_dealt_out_once(spark):
+    """Maps of a team were summed by (team, map, day) in one exchange and dealt out by team in another."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = X._days(spark.createDataFrame(GOLDEN, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [line.count("team") for line in plan.splitlines() if "Exchange hashpartitioning(team#" in line] == [1]
+
+
+def test_joins_move_no_column_twice(spark):
+    """Rows carry their label and picker, not what these are made of, and their day only once."""
+    plan = X.compute_features(spark.createDataFrame(GOLDEN, SCHEMA))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    side_b = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    moved = next(line for line in plan[side_b + 1:] if "Project [" in line)
+    assert not any(f" {c}#" in moved for c in ("winner_id", "team_a_picked", "team_b_picked", "day"))
